@@ -55,6 +55,18 @@ def _pack_rows(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[in
     return lists.mapInArrow(_scatter, "row_id bigint, vec array<double>")
 
 
+def _weighted_sum(terms: Sequence[tuple[Column, Column]], width: int) -> Column:
+    """``sum of number * array`` as an array of ``width`` entries."""
+    if not terms:
+        return F.array_repeat(F.lit(0.0), width)
+    if len(terms) == 1:
+        number, weights = terms[0]
+        return F.transform(weights, lambda w: number * w)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda f: sum((number * F.get(weights, f) for number, weights in terms), F.lit(0.0)))
+
+
 class _Shared(HasInputCols, HasStandardization):
     k = Param(Params._dummy(), "k", "number of components", typeConverter=TypeConverters.toInt)
     rhos = Param(Params._dummy(), "rhos", "sparsity in [0, 1], one value or one per view",
@@ -325,13 +337,8 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
             total = [
                 sum((F.col(f"score_{cols[j]}")[q] for j in range(d) if j != o), F.lit(0.0))
                 for q in range(k)]
-            width = self.widths[o]
-            value = F.transform(
-                F.sequence(F.lit(0), F.lit(width - 1)),
-                lambda f, o=o, total=total: sum(
-                    (total[q] * F.get(array_literal(weights[o, q]), f) for q in range(k)
-                     if (o, q) in weights), F.lit(0.0)))
-            predictions[f"prediction_{c}"] = value
+            used = [(total[q], array_literal(weights[o, q])) for q in range(k) if (o, q) in weights]
+            predictions[f"prediction_{c}"] = _weighted_sum(used, self.widths[o])
         return out.withColumns(predictions).drop("_m", *[f"_s{i}_{q}" for i, q in raw])
 
     def _dense_weights(self, rows) -> dict:

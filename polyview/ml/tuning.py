@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from polyview.sources.views import dense_index
 
 
-def fold_column(key: str | Column, folds: int, seed: int = 0) -> Column:
-    """Fold number from a hash of the subject key, for ``CrossValidator(foldCol=...)``.
+def fold_column(key: str | Column, folds: int, seed: int = 0, hashed: bool = True) -> Column:
+    """Fold number per subject key, for ``CrossValidator(foldCol=...)``.
 
     A subject keeps its fold whatever the partitioning or the order of rows.
+    ``hashed=False`` spreads integer keys by a multiplication instead.
     """
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
+    mixed = F.xxhash64(key, F.lit(seed)) if hashed else key.cast("bigint") * 7919 + seed
+    return F.pmod(mixed, F.lit(folds)).cast("int")
 
 
 def holdout_split(df: DataFrame, key: str, cut: int) -> tuple[DataFrame, DataFrame]:

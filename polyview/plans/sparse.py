@@ -32,6 +32,8 @@ from polyview.session import BROADCAST_ROWS, cut_lineage, lookup
 TIE = 1e-11
 PROBES = 8
 SLOTS = 32
+# Up to this many columns are all evaluated at once, without bounds.
+DIRECT = 1024
 KEPT = StorageLevel.MEMORY_AND_DISK
 
 
@@ -296,12 +298,14 @@ def column_bounds(left: Side, right: Side, sigma: np.ndarray) -> DataFrame:
     )
 
 
-def _columns_of(left: Side, right: Side, sigma: np.ndarray, features: list[int]) -> DataFrame:
+def _columns_of(
+    left: Side, right: Side, sigma: np.ndarray, features: list[int], slots: int = SLOTS
+) -> DataFrame:
     """The listed columns of the deflated product in slots: ``(feature_id, chunk, c0 ..)``."""
     spark = right.table.sparkSession
-    names = _names(SLOTS)
+    names = _names(slots)
     listed = spark.createDataFrame(
-        [(int(f), i // SLOTS, i % SLOTS) for i, f in enumerate(features)],
+        [(int(f), i // slots, i % slots) for i, f in enumerate(features)],
         "feature_id bigint, chunk int, slot int",
     )
     picked = F.broadcast(listed)
@@ -321,13 +325,13 @@ def _columns_of(left: Side, right: Side, sigma: np.ndarray, features: list[int])
     weights = {"colsum": [known[f]["colsum"] / left.matrix.n for f in features]}
     for q, s in enumerate(sigma):
         weights[f"z{q}"] = [float(s) * known[f][f"z{q}"] for f in features]
-    n_chunks = (len(features) - 1) // SLOTS + 1
+    n_chunks = (len(features) - 1) // slots + 1
     for column, w in weights.items():
         if not any(w):
             continue
-        w = w + [0.0] * (n_chunks * SLOTS - len(w))
+        w = w + [0.0] * (n_chunks * slots - len(w))
         for chunk in range(n_chunks):
-            here = w[chunk * SLOTS:(chunk + 1) * SLOTS]
+            here = w[chunk * slots:(chunk + 1) * slots]
             if any(here):
                 parts.append(left.table.filter(F.col(column) != 0).select(
                     "feature_id", F.lit(chunk).alias("chunk"),
@@ -352,37 +356,48 @@ def _norms(left: Side, right: Side, sigma: np.ndarray, features: list[int]) -> d
     return out
 
 
-def strongest_column(left: Side, right: Side, sigma: np.ndarray, batch: int = SLOTS):
-    """``(norm, feature_id, column)`` of the largest column, or None if all are 0.
+def _better(top: float, best: int | None, norms: dict[int, float]) -> tuple[float, int | None]:
+    """Running maximum; ties up to rounding go to the lowest feature."""
+    for feature, norm in norms.items():
+        if best is None or norm * (1 - TIE) > top:
+            top, best = norm, feature
+        elif norm >= top * (1 - TIE):
+            top, best = max(top, norm), min(best, feature)
+    return top, best
+
+
+def strongest_column(left: Side, right: Side, sigma: np.ndarray, batch: int = 4 * SLOTS, direct: int = DIRECT):
+    """``(norm, feature_id, column, evaluated)`` of the largest column, or None if all are 0.
 
     Batches grow while bounds fail to settle the search; in the worst case all
     columns are evaluated, so the answer is always the exact maximum.
     """
-    bounds = column_bounds(left, right, sigma)
-    top, best, cursor, evaluated = 0.0, None, None, 0
-    while True:
-        rest = bounds.filter(F.col("bound") >= top * (1 - TIE))
-        if cursor is not None:
-            rest = rest.filter(
-                (F.col("bound") < cursor[0])
-                | ((F.col("bound") == cursor[0]) & (F.col("feature_id") > cursor[1])))
-        rows = rest.orderBy(F.desc("bound"), "feature_id").limit(batch).collect()
-        if not rows:
-            break
-        norms = _norms(left, right, sigma, [r["feature_id"] for r in rows])
-        for feature, norm in norms.items():
-            if best is None or norm * (1 - TIE) > top:
-                top, best = norm, feature
-            elif norm >= top * (1 - TIE):
-                top, best = max(top, norm), min(best, feature)
-        cursor = (rows[-1]["bound"], rows[-1]["feature_id"])
-        evaluated += len(rows)
-        if len(rows) < batch:
-            break
-        batch = min(batch * 4, 64 * SLOTS)
+    top, best, evaluated = 0.0, None, 0
+    if right.matrix.width <= direct:
+        features = sorted(r["feature_id"] for r in right.matrix.columns.select("feature_id").collect())
+        if features:
+            top, best = _better(top, best, _norms(left, right, sigma, features))
+            evaluated = len(features)
+    else:
+        bounds, cursor = column_bounds(left, right, sigma), None
+        while True:
+            rest = bounds.filter(F.col("bound") >= top * (1 - TIE))
+            if cursor is not None:
+                rest = rest.filter(
+                    (F.col("bound") < cursor[0])
+                    | ((F.col("bound") == cursor[0]) & (F.col("feature_id") > cursor[1])))
+            rows = rest.orderBy(F.desc("bound"), "feature_id").limit(batch).collect()
+            if not rows:
+                break
+            top, best = _better(top, best, _norms(left, right, sigma, [r["feature_id"] for r in rows]))
+            cursor = (rows[-1]["bound"], rows[-1]["feature_id"])
+            evaluated += len(rows)
+            if len(rows) < batch:
+                break
+            batch = min(batch * 4, 64 * SLOTS)
     if top == 0:
         return None
-    column = _columns_of(left, right, sigma, [best]).select(
+    column = _columns_of(left, right, sigma, [best], 1).select(
         "feature_id", F.col("c0").alias("value")).filter(F.coalesce("value", F.lit(0.0)) != 0)
     return top, best, cut_lineage(column), evaluated
 

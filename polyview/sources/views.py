@@ -134,7 +134,7 @@ def dense_index(
 def match_subjects(cells: DataFrame, n_views: int) -> DataFrame:
     """Keep the subjects that occur in every view; views are matched by key."""
     seen = cells.groupBy("row_id").agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("view_idx"))).alias("seen")
+        F.bit_or(F.expr("shiftleft(1L, view_idx)")).alias("seen")
     )
     everywhere = seen.filter(F.col("seen") == (1 << n_views) - 1).select("row_id")
     return cells.join(everywhere, "row_id", "left_semi").select(*CELL_COLUMNS)

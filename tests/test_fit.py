@@ -196,7 +196,7 @@ def test_strongest_column_is_exact(spark):
                           30, p, True, 4, 500)
             for i, p in enumerate((15, 90))]
         sides = [sparse.Side(m, []) for m in ms]
-        top, best, column, evaluated = sparse.strongest_column(*sides, np.zeros(0), batch=2)
+        top, best, column, evaluated = sparse.strongest_column(*sides, np.zeros(0), batch=2, direct=0)
         cov = (xs[0] - xs[0].mean(0)).T @ (xs[1] - xs[1].mean(0))
         norms = np.linalg.norm(cov, axis=0)
         assert top == pytest.approx(norms.max(), rel=1e-10)
