@@ -52,8 +52,9 @@ def labels_of(spark, sf) -> DataFrame:
 
 def customer_dense(spark, sf) -> tuple[DataFrame, list[int], int]:
     cells, widths = customer_cells(spark, sf)
+    cells = cells.persist()
     subjects = match_subjects(cells, 3).select("row_id").distinct().persist()
-    return fill_missing(cells, subjects, widths), widths, subjects.count()
+    return fill_missing(cells, subjects, widths).persist(), widths, subjects.count()
 
 
 def estimator(d: int, **params) -> MultiViewCCA:
@@ -116,8 +117,9 @@ def subject_index(spark, sf):
 
 def feature_vector_chunks(spark, sf):
     cells = two(spark, sf)
-    ids = dense_index(cells.select("row_id").distinct(), ["row_id"], "row_idx")
-    out = feature_vectors(cells, ids, ids.count(), chunk_rows=256)
+    ids = cells.select("row_id").distinct()
+    n = ids.count()
+    out = feature_vectors(cells, dense_index(ids, ["row_id"], "row_idx", n), n, chunk_rows=256)
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)))
 
 
@@ -409,7 +411,7 @@ def fit_k3_three_view(spark, sf):
 
 def fit_customer_views(spark, sf):
     cells, widths = customer_cells(spark, sf)
-    matched = match_subjects(cells, 3).persist()
+    matched = match_subjects(cells.persist(), 3).persist()
     return _loadings(estimator(3).fit_cells(matched, widths=widths))
 
 

@@ -59,8 +59,8 @@ def customer_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[in
         part.select(F.col("p_type").alias("name")).distinct(),
         orders.select(F.col("o_orderpriority").alias("name")).distinct(),
     ]
-    indexed = [dense_index(n, ["name"], "feature_id") for n in names]
-    widths = [n.count() for n in indexed]
+    widths = [n.count() for n in names]
+    indexed = [dense_index(n, ["name"], "feature_id", rows) for n, rows in zip(names, widths)]
     brand = cells_from_facts(revenue, "row_id", "p_brand", F.col("revenue"), 0, indexed[0], widths[0])
     kind = cells_from_facts(revenue, "row_id", "p_type", F.col("revenue"), 1, indexed[1], widths[1])
     priority = cells_from_facts(
@@ -72,8 +72,9 @@ def event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]
     """Per user: event counts by type and mean value by type, matched by key to
     the revenue by brand of the customer of the same number."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
-    types = dense_index(events.select(F.col("event_type").alias("name")).distinct(), ["name"], "feature_id")
-    n_types = types.count()
+    names = events.select(F.col("event_type").alias("name")).distinct()
+    n_types = names.count()
+    types = dense_index(names, ["name"], "feature_id", n_types)
     per_type = events.groupBy("user_id", "event_type").agg(
         F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"))
     counts = cells_from_facts(per_type, "user_id", "event_type", F.col("n"), 0, types, n_types)
@@ -102,10 +103,10 @@ def document_cells(spark: SparkSession, sf_dir: str, buckets: int = 16384) -> tu
             lambda p: F.concat(F.get("c", p), F.get("c", p + 1), F.get("c", p + 2)))).alias("token"))
 
     def view(tokens, index):
-        # Hash each distinct token of a document once, after counting it.
-        counted = tokens.groupBy("row_id", "token").agg(F.count("*").cast("double").alias("n"))
+        # Counting by bucket leaves one shuffle, after map-side sums per document.
         bucket = F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("bigint") % buckets
-        return counted.groupBy("row_id", bucket.alias("feature_id")).agg(F.sum("n").alias("value")).select(
-            F.lit(index).cast("int").alias("view_idx"), "row_id", "feature_id", "value")
+        return tokens.groupBy("row_id", bucket.alias("feature_id")).agg(
+            F.count("*").cast("double").alias("value")
+        ).select(F.lit(index).cast("int").alias("view_idx"), "row_id", "feature_id", "value")
 
     return view(words, 0).unionByName(view(grams, 1)), [buckets, buckets]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -244,8 +245,9 @@ class MultiViewCCA(
                 start += w
             return self._model(covariance.fit(rows, views, widths, opts), cols)
         if plan == "gram":
-            index = dense_index(ids, ["row_id"], "row_idx")
-            return self._model(gram.fit(cells, index, index.count(), widths, opts), cols)
+            n = ids.count()
+            index = dense_index(ids, ["row_id"], "row_idx", n)
+            return self._model(gram.fit(cells, index, n, widths, opts), cols)
         return self._model(sparse.fit(cells, ids.count(), widths, opts), cols)
 
     def _model(self, result: FitResult, cols: Sequence[str]) -> "MultiViewCCAModel":
@@ -342,12 +344,15 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         return out.withColumns(predictions).drop("_m", *[f"_s{i}_{q}" for i, q in raw])
 
     def _dense_weights(self, rows) -> dict:
-        spark = self.loadings.sparkSession
-        local = spark.createDataFrame(rows, self.loadings.schema)
+        """Prediction weights per view and component, from the (few) loadings."""
         out: dict = {}
-        for r in scoring.prediction_weights(local).collect():
-            key = (r["view_idx"], r["component"])
-            out.setdefault(key, [0.0] * self.widths[key[0]])[r["feature_id"]] = r["weight"]
+        for i, width in enumerate(self.widths):
+            z = np.zeros((self.getK(), width))
+            for r in rows:
+                if r["view_idx"] == i:
+                    z[r["component"], r["feature_id"]] = r["loading"]
+            weights = np.linalg.pinv(z @ z.T, hermitian=True) @ z
+            out.update({(i, q): w.tolist() for q, w in enumerate(weights) if w.any()})
         return out
 
     # ------------------------------------------------------------ long form
@@ -356,32 +361,38 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         rows = self._small_loadings()
         return len(rows) if rows is not None else None
 
+    def _score_table(self, cells, subjects, centered) -> DataFrame:
+        table = scoring.score_table(
+            cells, self.loadings, len(self.widths), self.getK(), subjects, self._rows_bound())
+        if not centered:
+            return table
+        if self.getCentering() == "batch":
+            return scoring.center_table(table)
+        known = {f"s{i}_{q}": m for q, i, m in self._result.score_means}
+        return table.select("row_id", *[
+            (F.col(c) - F.lit(float(known.get(c, 0.0)))).alias(c)
+            for c in table.columns if c != "row_id"])
+
     def score_cells(self, cells: DataFrame, subjects: DataFrame | None = None,
                     centered: bool | None = None) -> DataFrame:
-        """Scores from long cells: ``(view_idx, row_id, component, score)``."""
+        """Scores from long cells: ``(view_idx, row_id, component, score)``.
+
+        ``subjects(row_id)`` adds subjects without any cell.
+        """
         centered = self.getStandardization() if centered is None else centered
-        ids = subjects if subjects is not None else cells.select("row_id").distinct()
-        raw = scoring.project(cells, self.loadings, ids, self._rows_bound(), self.getK(), len(self.widths))
-        if not centered:
-            return raw
-        if self.getCentering() == "batch":
-            return scoring.center_scores(raw)
-        means = raw.sparkSession.createDataFrame(self._result.score_means, MEANS)
-        return raw.join(F.broadcast(means), ["component", "view_idx"], "left").select(
-            "view_idx", "row_id", "component",
-            (F.col("score") - F.coalesce("mean", F.lit(0.0))).alias("score"))
+        return scoring.long_scores(
+            self._score_table(cells, subjects, centered), len(self.widths), self.getK())
 
     def predict_cells(self, cells: DataFrame, subjects: DataFrame | None = None,
                       outcome: int | None = None, dense: bool = True) -> DataFrame:
         """Predict one view (``outcome``) or every view from the others, in long form."""
-        sums = scoring.other_view_score_sum(self.score_cells(cells, subjects), len(self.widths))
-        loadings = self.loadings
-        widths = list(self.widths)
+        loadings, widths = self.loadings, list(self.widths)
         if outcome is not None:
             if not 0 <= outcome < len(widths):
                 raise ValueError("outcome is not the number of a view")
-            sums = sums.filter(F.col("view_idx") == outcome)
             loadings = loadings.filter(F.col("view_idx") == outcome)
+        table = self._score_table(cells, subjects, self.getStandardization())
+        sums = scoring.other_view_sums(table, len(widths), self.getK(), outcome)
         return scoring.predict_cells(
             sums, scoring.prediction_weights(loadings), widths, dense, self._rows_bound())
 

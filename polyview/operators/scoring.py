@@ -12,38 +12,82 @@ from polyview.functions.scalar import safe_corr
 from polyview.session import BROADCAST_ROWS, lookup
 
 __all__ = [
-    "canonical_correlations", "center_scores", "mean_correlation", "other_view_score_sum",
-    "predict_cells", "prediction_weights", "project", "scores_wide", "sigma_pairs",
+    "canonical_correlations", "center_scores", "center_table", "long_scores", "mean_correlation",
+    "other_view_score_sum", "other_view_sums", "predict_cells", "prediction_weights", "project",
+    "score_table", "scores_wide", "sigma_pairs",
 ]
 
 
-def project(
-    cells: DataFrame, loadings: DataFrame, subjects: DataFrame | None = None,
-    rows: int | None = None, components: int | None = None, n_views: int | None = None,
-) -> DataFrame:
+def project(cells: DataFrame, loadings: DataFrame, rows: int | None = None) -> DataFrame:
     """Scores ``X z``: ``(view_idx, row_id, component, score)``.
 
-    The sparse loadings drop most cells before the shuffle.  With ``subjects``
-    (and the numbers of views and components) subjects without a cell in the
-    support get score 0 rather than no row.
+    The sparse loadings drop most cells before the shuffle; subjects without a
+    cell in the support have no row (see :func:`score_table`).
     """
-    out = (
+    return (
         cells.join(lookup(loadings, rows), ["view_idx", "feature_id"])
         .groupBy("view_idx", "row_id", "component")
         .agg(F.sum(F.col("value") * F.col("loading")).alias("score"))
     )
+
+
+def score_table(
+    cells: DataFrame, loadings: DataFrame, n_views: int, components: int,
+    subjects: DataFrame | None = None, rows: int | None = None,
+) -> DataFrame:
+    """All scores of a subject in one row: ``(row_id, s0_0, s0_1, ..)`` (view, component).
+
+    One shuffle, by subject, after map-side sums.  Every subject that has cells
+    or is listed in ``subjects(row_id)`` gets a row.
+    """
+    sums = [
+        F.coalesce(
+            F.sum(F.when((F.col("view_idx") == i) & (F.col("component") == q),
+                         F.col("value") * F.col("loading"))),
+            F.lit(0.0),
+        ).alias(f"s{i}_{q}")
+        for i in range(n_views) for q in range(components)
+    ]
+    out = cells.join(lookup(loadings, rows), ["view_idx", "feature_id"], "left").groupBy("row_id").agg(*sums)
     if subjects is None:
         return out
-    every = subjects.select(
-        "row_id",
-        F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))).alias("view_idx"),
-    ).select(
-        "view_idx", "row_id",
-        F.explode(F.sequence(F.lit(0), F.lit(components - 1))).alias("component"),
-    )
-    return every.join(out, ["view_idx", "row_id", "component"], "left").select(
-        "view_idx", "row_id", "component", F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    names = [c for c in out.columns if c != "row_id"]
+    return subjects.select("row_id").join(out, "row_id", "left").na.fill(0.0, names)
+
+
+def center_table(table: DataFrame) -> DataFrame:
+    """Subtract the mean of every score column of :func:`score_table`."""
+    names = [c for c in table.columns if c != "row_id"]
+    means = table.agg(F.struct(*[F.avg(c).alias(c) for c in names]).alias("m")).scalar()
+    return table.withColumn("_m", means).select(
+        "row_id", *[(F.col(c) - F.col("_m")[c]).alias(c) for c in names])
+
+
+def long_scores(table: DataFrame, n_views: int, components: int) -> DataFrame:
+    """``score_table`` in long form: ``(view_idx, row_id, component, score)``."""
+    items = F.array(*[
+        F.struct(F.lit(i).cast("int").alias("view_idx"), F.lit(q).cast("int").alias("component"),
+                 F.col(f"s{i}_{q}").alias("score"))
+        for i in range(n_views) for q in range(components)])
+    return table.select("row_id", F.inline(items)).select("view_idx", "row_id", "component", "score")
+
+
+def other_view_sums(table: DataFrame, n_views: int, components: int, only: int | None = None) -> DataFrame:
+    """Sums over the other views from one row per subject, without a shuffle.
+
+    Returns ``(view_idx, row_id, s)`` with ``s`` an array of (component, score).
+    """
+    def sums(i):
+        return F.array(*[
+            F.struct(
+                F.lit(q).cast("int").alias("component"),
+                sum((F.col(f"s{j}_{q}") for j in range(n_views) if j != i), F.lit(0.0)).alias("score"))
+            for q in range(components)])
+
+    views = range(n_views) if only is None else [only]
+    items = F.array(*[
+        F.struct(F.lit(i).cast("int").alias("view_idx"), sums(i).alias("s")) for i in views])
+    return table.select("row_id", F.inline(items)).select("view_idx", "row_id", "s")
 
 
 def center_scores(scores: DataFrame) -> DataFrame:
@@ -225,8 +269,8 @@ def predict_cells(
 ) -> DataFrame:
     """``(sum of other scores) pinv(Z)'``: ``(view_idx, row_id, feature_id, prediction)``.
 
-    ``sums`` comes from :func:`other_view_score_sum`, ``widths`` holds the
-    features per view.  Features outside every support are predicted 0; with
+    ``sums`` comes from :func:`other_view_sums` or :func:`other_view_score_sum`,
+    ``widths`` holds the features per view.  Features outside every support are predicted 0; with
     ``dense=False`` they are left out.
 
     Weights with a known small bound are broadcast.  Otherwise they are packed
@@ -241,9 +285,11 @@ def predict_cells(
             per_feature, ["view_idx", "feature_id"], "left"
         )
         rows = sum(widths)
-    by_subject = sums.groupBy("view_idx", "row_id").agg(
-        F.collect_list(F.struct("component", "score")).alias("s")
-    )
+    by_subject = sums
+    if "s" not in sums.columns:
+        by_subject = sums.groupBy("view_idx", "row_id").agg(
+            F.collect_list(F.struct("component", "score")).alias("s")
+        )
     if rows is not None and rows <= BROADCAST_ROWS:
         joined = by_subject.join(F.broadcast(per_feature), "view_idx")
     else:

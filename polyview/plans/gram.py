@@ -53,7 +53,8 @@ def _moments_pass(centered, gram, n_prior):
             uu, mm = p.T @ x, p.T @ p
             g, u, m = (gg, uu, mm) if u is None else (g + gg, u + uu, m + mm)
         if u is not None:
-            lines = ([("g", i, r) for i, r in enumerate(g)] if gram else [])
+            # The Gram matrix is symmetric: its lower triangle is enough.
+            lines = ([("g", i, r[:i + 1]) for i, r in enumerate(g)] if gram else [])
             lines += [("u", i, r) for i, r in enumerate(u)]
             lines += [("m", i, r) for i, r in enumerate(m)]
             yield _record(
@@ -201,9 +202,13 @@ class _View:
         def stack(part, count, width):
             return np.array([got.get((part, i), np.zeros(width)) for i in range(count)]).reshape(count, width)
 
-        u, m = stack("u", k + 1, n), stack("m", k + 1, k + 1)
+        u, m, g = stack("u", k + 1, n), stack("m", k + 1, k + 1), None
+        if gram:
+            g = np.zeros((n, n))
+            for i in range(n):
+                g[i, :i + 1] = g[:i + 1, i] = got.get(("g", i), 0.0)
         return {
-            "g": stack("g", n, n) if gram else None,
+            "g": g,
             "u": u[:k], "m": m[:k, :k], "start": u[k], "overlap": m[:k, k],
         }
 

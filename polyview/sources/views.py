@@ -44,21 +44,21 @@ def cells_from_arrays(
         for c in names:
             clean = clean & F.col(c).isNotNull() & ~F.exists(c, _bad)
         wide = wide.filter(clean)
+        checked = {c: F.col(c) for c in names}
+    else:
+        # Checked per array: a null array has no cell that could fail later.
+        checked = {
+            c: F.when(F.col(c).isNull() | F.exists(c, _bad),
+                      F.raise_error(F.lit("null or NaN entry in a view"))).otherwise(F.col(c))
+            for c in names}
     stacked = F.array(
-        *[F.struct(F.lit(i).alias("view_idx"), F.col(c).alias("vals")) for i, c in enumerate(names)]
+        *[F.struct(F.lit(i).alias("view_idx"), checked[c].alias("vals")) for i, c in enumerate(names)]
     )
-    out = (
+    return (
         wide.select("row_id", F.inline(stacked))
-        .select("view_idx", "row_id", F.posexplode_outer("vals").alias("feature_id", "value"))
-        .select("view_idx", "row_id", F.col("feature_id").cast("bigint").alias("feature_id"), "value")
-    )
-    if how == "error":
-        out = out.withColumn(
-            "value",
-            F.when(_bad(F.col("value")), F.raise_error(F.lit("null or NaN entry in a view")))
-            .otherwise(F.col("value")),
-        )
-    return out
+        .select("view_idx", "row_id", F.posexplode("vals").alias("feature_id", "value"))
+        .withColumn("feature_id", F.col("feature_id").cast("bigint"))
+    )
 
 
 def cells_from_columns(
@@ -95,16 +95,18 @@ def cells_from_facts(
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], name: str, single_task_rows: int = 100_000
+    df: DataFrame, keys: Sequence[str], name: str,
+    rows: int | None = None, single_task_rows: int = 100_000,
 ) -> DataFrame:
     """Add ``name``: the 0-based rank of each row by its (unique) ``keys``.
 
     Small inputs use one ordered window.  Larger ones are range-partitioned and
     written once, then each range's position is shifted by the sizes of the
-    ranges before it, so no task sees more than one range.
+    ranges before it, so no task sees more than one range.  ``rows`` passes a
+    known count.
     """
     keys = list(keys)
-    if df.count() <= single_task_rows:
+    if (df.count() if rows is None else rows) <= single_task_rows:
         return df.withColumn(
             name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint")
         )
