@@ -302,7 +302,8 @@ def predict_cells(
         for i, w in enumerate(widths):
             chunks = F.when(F.col("view_idx") == i, F.lit((w - 1) // chunk)).otherwise(chunks)
         joined = (
-            by_subject.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks)).cast("bigint"))
+            by_subject.withColumn(
+                "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks.cast("bigint"))))
             .join(packed, ["view_idx", "chunk"])
             .select("view_idx", "row_id", "s", F.inline("features"))
         )

@@ -36,17 +36,27 @@ def correlated(n, widths, seed=0):
             for p in widths]
 
 
-@pytest.mark.parametrize("plan", PLANS)
-@pytest.mark.parametrize("widths,k,rhos,full", [
-    ((12, 9), 2, (0.2, 0.4), False),
-    ((8, 11, 6), 3, (0.1, 0.3, 0.2), False),
-    ((8, 11, 6), 3, (0.3, 0.3, 0.3), True),
-])
-def test_plans_match_direct_form(spark, plan, widths, k, rhos, full):
+CASES = [
+    (plan, *case)
+    for plan in ("covariance", "gram")
+    for case in [
+        ((12, 9), 2, (0.2, 0.4), False, 1000),
+        ((8, 11, 6), 3, (0.1, 0.3, 0.2), False, 1000),
+        ((8, 11, 6), 3, (0.3, 0.3, 0.3), True, 1000),
+    ]
+] + [
+    ("sparse", (8, 11, 6), 2, (0.1, 0.3, 0.2), False, 4),
+    ("sparse", (9, 7), 3, (0.3, 0.3), True, 4),
+]
+
+
+@pytest.mark.parametrize("plan,widths,k,rhos,full,cap", CASES)
+def test_plans_match_direct_form(spark, plan, widths, k, rhos, full, cap):
     xs = correlated(40, widths)
-    want, sigma = direct.fit(xs, k, rhos, full=full)
+    want, sigma = direct.fit(xs, k, rhos, full=full, cap=cap)
     model = MultiViewCCA(
-        inputCols=[f"v{i}" for i in range(len(widths))], k=k, rhos=rhos, plan=plan, fullDeflation=full,
+        inputCols=[f"v{i}" for i in range(len(widths))], k=k, rhos=rhos, plan=plan,
+        fullDeflation=full, maxIter=cap,
     ).fit(frame(spark, xs))
     got = dense(model)
     for c in range(k):
@@ -57,13 +67,17 @@ def test_plans_match_direct_form(spark, plan, widths, k, rhos, full):
             assert r["sigma"] == pytest.approx(sigma[r["component"]][r["view_i"], r["view_j"]], abs=1e-7)
         else:
             assert r["sigma"] == 0
+    means = {(i, c): xs[i].mean(0) @ want[c][i] for i in range(len(widths)) for c in range(k)}
+    for c, i, m in model._result.score_means:
+        assert m == pytest.approx(means[i, c], abs=1e-7)
 
 
 @pytest.mark.parametrize("plan", PLANS)
 def test_without_centring(spark, plan):
     xs = correlated(30, (7, 8), seed=3)
-    want, _ = direct.fit(xs, 1, (0.1, 0.1), centered=False)
-    model = MultiViewCCA(inputCols=["v0", "v1"], standardization=False, plan=plan).fit(frame(spark, xs))
+    want, _ = direct.fit(xs, 1, (0.1, 0.1), centered=False, cap=3)
+    model = MultiViewCCA(
+        inputCols=["v0", "v1"], standardization=False, plan=plan, maxIter=3).fit(frame(spark, xs))
     for i, z in enumerate(dense(model)):
         assert np.abs(z[0] - want[0][i]).max() < 1e-8
 
@@ -150,7 +164,7 @@ def test_stop_rule():
     assert stop_state([1.0, 2.0], 3, 4, 1e-4) == GO
 
 
-@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("plan", ["covariance", "gram"])
 def test_order_and_partitions_do_not_matter(spark, plan):
     xs = correlated(30, (9, 7), seed=5)
     base = frame(spark, xs)
@@ -164,16 +178,16 @@ def test_order_and_partitions_do_not_matter(spark, plan):
 def test_zero_view_and_full_shrinkage(spark, plan):
     xs = correlated(20, (5, 6, 4), seed=1)
     xs[2] = np.zeros_like(xs[2])
-    model = MultiViewCCA(inputCols=["v0", "v1", "v2"], plan=plan, k=2).fit(frame(spark, xs))
+    model = MultiViewCCA(inputCols=["v0", "v1", "v2"], plan=plan, maxIter=3).fit(frame(spark, xs))
     got = dense(model)
-    want, _ = direct.fit(xs[:2], 1, (0.1, 0.1))
+    want, _ = direct.fit(xs[:2], 1, (0.1, 0.1), cap=3)
     assert not got[2].any()
     assert np.abs(got[0][0] - want[0][0]).max() < 1e-8
-    none = MultiViewCCA(inputCols=["v0", "v1"], plan=plan, rhos=[1.0]).fit(frame(spark, xs[:2]))
+    none = MultiViewCCA(inputCols=["v0", "v1"], plan=plan, rhos=[1.0], maxIter=3).fit(frame(spark, xs[:2]))
     assert np.isfinite(np.concatenate([z.ravel() for z in dense(none)])).all()
 
 
-@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("plan", ["covariance", "gram"])
 def test_equal_columns_take_the_first(spark, plan):
     xs = correlated(25, (6, 5), seed=2)
     xs[0][:, 3] = xs[0][:, 1]
@@ -187,7 +201,7 @@ def test_equal_columns_take_the_first(spark, plan):
 def test_strongest_column_is_exact(spark):
     """The bounded search against brute force, with many small batches."""
     rng = np.random.default_rng(8)
-    for seed in range(3):
+    for seed in range(2):
         xs = [rng.normal(size=(30, p)) * (rng.uniform(size=(30, p)) < 0.3) for p in (15, 90)]
         xs[1][:, 40] = xs[1][:, 20] = xs[1][:, 20] * 4
         cells = cells_from_arrays(frame(spark, xs), "row_id", ["v0", "v1"]).filter("value != 0")
@@ -228,7 +242,7 @@ def test_heavy_subject_is_spread(spark):
     one = cells.filter("view_idx = 0").select("row_id", "feature_id", "value")
     assert sparse.Placed(one, "row_id", 8, one.count()).heavy is not None
     models = [
-        MultiViewCCA(plan=p, maxIter=4, tol=0.0).fit_cells(cells, widths=[1500, 1400])
+        MultiViewCCA(plan=p, maxIter=3, tol=0.0).fit_cells(cells, widths=[1500, 1400])
         for p in ("gram", "sparse")]
     a, b = (dense(m) for m in models)
     assert all(np.abs(x - y).max() < 1e-8 for x, y in zip(a, b))
