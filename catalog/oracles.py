@@ -241,7 +241,7 @@ def build() -> dict[str, str]:
     c = Ctes()
     customer_dense(c)
     centred(c, "dense")
-    out["center_customer_columns"] = c.query(cells_out("x", digits=4))
+    out["center_customer_columns"] = c.query(cells_out("x", "x / 1009.0"))
     put("standardize_columns", cells_out("e JOIN mean USING (v, f) JOIN sd USING (v, f)", "(x - m) / s"),
         e, mean, ("sd", "SELECT v, f, stddev_pop(x) s FROM e GROUP BY v, f"))
     put("standardize_scalar", cells_out("e", "(x - 0.25) / 2.0"), e)

@@ -160,7 +160,9 @@ def center_columns(spark, sf):
 
 def center_customer_columns(spark, sf):
     cells, widths, n = customer_dense(spark, sf)
-    return rounded(ops.center_columns(cells, sum(widths), n), "value", digits=4)
+    # Amounts have few decimals, so centred values can end in an exact half; a
+    # prime unit keeps them from being rounded either way.
+    return rounded(ops.scale_entries(ops.center_columns(cells, sum(widths), n), 1009.0), "value")
 
 
 def standardize_columns(spark, sf):

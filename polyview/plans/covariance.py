@@ -67,7 +67,7 @@ def cross_covariances(
     if not np.isfinite(origin).all():
         raise ValueError("null, NaN or infinite entry in a view")
     merged = (
-        scan_tasks(arrays).mapInArrow(_cross_sums(widths, origin), "line int, sums array<double>")
+        scan_tasks(arrays, 4 * sum(widths) ** 2).mapInArrow(_cross_sums(widths, origin), "line int, sums array<double>")
         .groupBy("line")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
         .collect()

@@ -189,7 +189,7 @@ class _View:
     def moments(self, features: DataFrame, gram: bool = True) -> dict:
         k = len(self.components)
         rows = (
-            scan_tasks(features)
+            scan_tasks(features, 4 * self.n ** 2)
             .mapInArrow(_moments_pass(self.centered, gram, k),
                         "part string, line int, sums array<double>")
             .groupBy("part", "line")

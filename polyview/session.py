@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # A lookup table is broadcast only when its row count is known to be at most this.
 BROADCAST_ROWS = 1_000_000
 
+# What the partial matrices of one pass may add up to before tasks are made fewer.
+PARTIAL_BYTES = 32 << 30
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the session names, else a temporary one."""
@@ -39,11 +42,16 @@ def lookup(table: DataFrame, rows: int | None) -> DataFrame:
     return table
 
 
-def scan_tasks(df: DataFrame, per_core: int = 3) -> DataFrame:
+def scan_tasks(df: DataFrame, partial_bytes: int = 0) -> DataFrame:
     """Bound the number of tasks that each emit one partial aggregate.
 
     ``coalesce`` adds no shuffle: every task reads several input splits in
-    turn, so partial matrices number a few per core instead of one per split.
+    turn, so partial aggregates number a few per core instead of one per split.
+    When one partial takes ``partial_bytes``, large ones lower the number to
+    one per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, per_core * cores))
+    tasks = 3 * cores
+    if partial_bytes:
+        tasks = max(cores, min(tasks, PARTIAL_BYTES // partial_bytes))
+    return df.coalesce(max(1, tasks))
