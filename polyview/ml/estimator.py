@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -23,10 +24,14 @@ from polyview.operators import scoring
 from polyview.plans import covariance, gram, sparse
 from polyview.plans.common import MEANS, SIGMA, FitOptions, FitResult, log
 
-from polyview.sources.views import _scatter, cells_from_arrays, dense_index
+from polyview.sources.views import (
+    _scatter, cells_from_arrays, dense_index, feature_vectors_from_arrays,
+)
 
 # Up to this many non-zero loadings are written into the plan as constants.
 INLINE_LOADINGS = 10_000
+# Beyond that, arrays are scored with broadcast weights, up to this many numbers.
+INLINE_WEIGHTS = 1 << 25
 
 
 def view_column(df: DataFrame, name: str) -> Column:
@@ -56,6 +61,24 @@ def _pack_rows(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[in
     return lists.mapInArrow(_scatter, "row_id bigint, vec array<double>")
 
 
+def _array_scores(shared, view: int):
+    """Arrow-batched ``X Z'`` for an array column, with broadcast loadings."""
+    @F.pandas_udf("array<double>")
+    def score(arrays: pd.Series) -> pd.Series:
+        z = shared.value[view]
+        return pd.Series(list(np.vstack(arrays.to_list()) @ z.T))
+
+    return score
+
+
+def _array_predictions(shared, view: int):
+    @F.pandas_udf("array<double>")
+    def predict(sums: pd.Series) -> pd.Series:
+        return pd.Series(list(np.vstack(sums.to_list()) @ shared.value[view]))
+
+    return predict
+
+
 def _weighted_sum(terms: Sequence[tuple[Column, Column]], width: int) -> Column:
     """``sum of number * array`` as an array of ``width`` entries."""
     if not terms:
@@ -212,11 +235,17 @@ class MultiViewCCA(
         if sizes is None:
             raise ValueError("there are no subjects")
         widths = [int(s) for s in sizes]
-        if self._choose(widths, dataset.count) == "covariance":
+        plan = self._choose(widths, dataset.count)
+        if plan == "covariance":
             return self._model(covariance.fit(dataset, views, widths, opts), cols)
-        cells = cells_from_arrays(dataset, self.getRowCol(), views)
         subjects = dataset.select(F.col(self.getRowCol()).cast("bigint").alias("row_id"))
-        return self._fit_long(cells, subjects, widths, opts, cols)
+        if plan == "gram":
+            n = subjects.count()
+            index = dense_index(subjects, ["row_id"], "row_idx", n)
+            vectors = feature_vectors_from_arrays(dataset, self.getRowCol(), views, index, n)
+            return self._model(gram.fit(vectors, n, widths, opts), cols)
+        cells = cells_from_arrays(dataset, self.getRowCol(), views)
+        return self._model(sparse.fit(cells, subjects.count(), widths, opts), cols)
 
     def fit_cells(self, cells: DataFrame, subjects: DataFrame | None = None,
                   widths: Sequence[int] | None = None) -> "MultiViewCCAModel":
@@ -247,7 +276,7 @@ class MultiViewCCA(
         if plan == "gram":
             n = ids.count()
             index = dense_index(ids, ["row_id"], "row_idx", n)
-            return self._model(gram.fit(cells, index, n, widths, opts), cols)
+            return self._model(gram.fit(gram.vectors_of_cells(cells, index, n), n, widths, opts), cols)
         return self._model(sparse.fit(cells, ids.count(), widths, opts), cols)
 
     def _model(self, result: FitResult, cols: Sequence[str]) -> "MultiViewCCAModel":
@@ -308,16 +337,21 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         if len(cols) != d:
             raise ValueError(f"the model needs {d} views")
         rows = self._small_loadings()
-        if rows is None:
-            raise ValueError(
-                "too many non-zero loadings to score arrays in place; "
-                "use score_cells and predict_cells on the long form")
+        dense = None
         raw = {}
-        for i, c in enumerate(cols):
-            for q in range(k):
-                mine = sorted((r["feature_id"], r["loading"]) for r in rows
-                              if r["view_idx"] == i and r["component"] == q)
-                raw[i, q] = sparse_dot(view_column(dataset, c), [f for f, _ in mine], [w for _, w in mine])
+        if rows is None:
+            dense = self._dense_loadings()
+            shared = dataset.sparkSession.sparkContext.broadcast(dense)
+            for i, c in enumerate(cols):
+                s = _array_scores(shared, i)(view_column(dataset, c).cast("array<double>"))
+                raw.update({(i, q): s[q] for q in range(k)})
+        else:
+            for i, c in enumerate(cols):
+                for q in range(k):
+                    mine = sorted((r["feature_id"], r["loading"]) for r in rows
+                                  if r["view_idx"] == i and r["component"] == q)
+                    raw[i, q] = sparse_dot(
+                        view_column(dataset, c), [f for f, _ in mine], [w for _, w in mine])
         out = dataset.withColumns({f"_s{i}_{q}": e for (i, q), e in raw.items()})
         if not self.getStandardization():
             mean = {key: F.lit(0.0) for key in raw}
@@ -333,28 +367,36 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         score = {key: F.col(f"_s{key[0]}_{key[1]}") - mean[key] for key in raw}
         out = out.withColumns({
             f"score_{c}": F.array(*[score[i, q] for q in range(k)]) for i, c in enumerate(cols)})
-        weights = self._dense_weights(rows)
+        weights = self._dense_weights(self._dense_loadings(rows) if dense is None else dense)
         predictions = {}
+        if dense is not None:
+            shared = dataset.sparkSession.sparkContext.broadcast(weights)
         for o, c in enumerate(cols):
             total = [
                 sum((F.col(f"score_{cols[j]}")[q] for j in range(d) if j != o), F.lit(0.0))
                 for q in range(k)]
-            used = [(total[q], array_literal(weights[o, q])) for q in range(k) if (o, q) in weights]
+            if dense is not None:
+                predictions[f"prediction_{c}"] = _array_predictions(shared, o)(F.array(*total))
+                continue
+            used = [(total[q], array_literal(w.tolist())) for q, w in enumerate(weights[o]) if w.any()]
             predictions[f"prediction_{c}"] = _weighted_sum(used, self.widths[o])
         return out.withColumns(predictions).drop("_m", *[f"_s{i}_{q}" for i, q in raw])
 
-    def _dense_weights(self, rows) -> dict:
-        """Prediction weights per view and component, from the (few) loadings."""
-        out: dict = {}
-        for i, width in enumerate(self.widths):
-            z = np.zeros((self.getK(), width))
-            for r in rows:
-                if r["view_idx"] == i:
-                    z[r["component"], r["feature_id"]] = r["loading"]
-            weights = np.linalg.pinv(z @ z.T, hermitian=True) @ z
-            out.update({(i, q): w.tolist() for q, w in enumerate(weights) if w.any()})
+    def _dense_loadings(self, rows=None) -> list[np.ndarray]:
+        """Components by features per view; the size of a few subjects' arrays."""
+        if self.getK() * sum(self.widths) > INLINE_WEIGHTS:
+            raise ValueError(
+                "the views are too wide to score arrays; use score_cells and predict_cells")
+        out = [np.zeros((self.getK(), w)) for w in self.widths]
+        for r in self.loadings.toLocalIterator() if rows is None else rows:
+            out[r["view_idx"]][r["component"], r["feature_id"]] = r["loading"]
         return out
 
+    @staticmethod
+    def _dense_weights(loadings: list[np.ndarray]) -> list[np.ndarray]:
+        """Prediction weights, components by features per view."""
+        return [np.linalg.pinv(z @ z.T, hermitian=True) @ z for z in loadings]
+
     # ------------------------------------------------------------ long form
 
     def _rows_bound(self) -> int | None:

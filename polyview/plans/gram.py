@@ -407,16 +407,19 @@ def _refit(restricted, sigma_row, removed, k, opts):
     return scores, overlaps, outs
 
 
-def fit(cells: DataFrame, subjects: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitResult:
-    """``cells`` of all views, ``subjects(row_id, row_idx)`` of size ``n``."""
-    vectors = feature_vectors(cells, subjects, n, chunk_rows=n).select(
-        "view_idx", "feature_id", "vec"
-    ).persist()
+def vectors_of_cells(cells: DataFrame, subjects: DataFrame, n: int) -> DataFrame:
+    """Feature vectors from ``cells`` and ``subjects(row_id, row_idx)``."""
+    return feature_vectors(cells, subjects, n, chunk_rows=n).select("view_idx", "feature_id", "vec")
+
+
+def fit(vectors: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitResult:
+    """``vectors(view_idx, feature_id, vec)`` of all views over ``n`` subjects."""
+    vectors = vectors.persist()
     views = []
     try:
         views += [_View(vectors, i, n, opts.centered) for i in range(len(widths))]
         saved, sigmas, steps = solve(views, n, opts)
-        spark = cells.sparkSession
+        spark = vectors.sparkSession
         loadings = spark.createDataFrame([], LOADINGS)
         for k, i, z in saved:
             loadings = loadings.unionByName(

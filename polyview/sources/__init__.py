@@ -6,6 +6,7 @@ from polyview.sources.views import (  # noqa: F401
     cells_from_facts,
     dense_index,
     feature_vectors,
+    feature_vectors_from_arrays,
     fill_missing,
     match_subjects,
     matrix_rows,

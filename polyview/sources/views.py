@@ -209,6 +209,59 @@ def feature_vectors(
     )
 
 
+def _transpose(n_subjects: int, width: int):
+    """One (view, chunk) group: subject slices in, one vector per feature out."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        order = table.column("row_idx").to_numpy()
+        slices = table.column("vals").combine_chunks()
+        size = len(slices[0])
+        if not (slices.value_lengths().to_numpy(zero_copy_only=False) == size).all():
+            raise ValueError("every subject needs arrays of the same length per view")
+        x = np.zeros((n_subjects, size))
+        x[order] = slices.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        view, chunk = table.column("view_idx")[0].as_py(), table.column("chunk")[0].as_py()
+        offsets = pa.array(np.arange(0, (size + 1) * n_subjects, n_subjects), pa.int32())
+        return pa.table({
+            "view_idx": pa.array(np.full(size, view), pa.int32()),
+            "feature_id": pa.array(chunk * width + np.arange(size), pa.int64()),
+            "vec": pa.ListArray.from_arrays(offsets, pa.array(x.T.ravel())),
+        })
+
+    return run
+
+
+def feature_vectors_from_arrays(
+    df: DataFrame, row_col: str, views: Sequence[Column], subjects: DataFrame, n_subjects: int,
+    chunk_cols: int = 1024,
+) -> DataFrame:
+    """Feature-major form ``(view_idx, feature_id, vec)`` straight from array columns.
+
+    For few subjects and wide arrays: subjects travel in slices of
+    ``chunk_cols`` features, so the shuffle carries little more than the
+    numbers, and a group holds ``n_subjects * chunk_cols`` of them.
+    """
+    def checked(v):
+        empty = F.raise_error(F.lit("missing or empty array in a view"))
+        return F.when(v.isNull() | (F.size(v) == 0), empty).otherwise(v.cast("array<double>"))
+
+    stacked = F.array(*[
+        F.struct(F.lit(i).cast("int").alias("view_idx"), checked(v).alias("a"))
+        for i, v in enumerate(views)])
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("a") - 1) / chunk_cols).cast("int")),
+        lambda c: F.slice("a", c * chunk_cols + 1, F.lit(chunk_cols)))
+    return (
+        df.select(F.col(row_col).cast("bigint").alias("row_id"), F.inline(stacked))
+        .join(lookup(subjects, n_subjects), "row_id")
+        .select("view_idx", F.col("row_idx").cast("int").alias("row_idx"),
+                F.posexplode(pieces).alias("chunk", "vals"))
+        .groupBy("view_idx", "chunk")
+        .applyInArrow(_transpose(n_subjects, chunk_cols),
+                      "view_idx int, feature_id bigint, vec array<double>")
+    )
+
+
 def matrix_rows(cells: DataFrame, n_features: int, chunk_cols: int = 4096) -> DataFrame:
     """Row-major form: ``(view_idx, row_id, chunk, vec)`` with features in order."""
     start = F.col("chunk") * chunk_cols

@@ -45,6 +45,25 @@ def test_transform(fitted, data):
         assert np.allclose([r[f"prediction_v{i}"] for r in rows], predictions[i])
 
 
+def test_transform_with_many_loadings(fitted, data, monkeypatch):
+    """Wide models are scored with broadcast weights; the numbers are the same."""
+    from polyview.ml import estimator
+    model, df = fitted
+    want = model.transform(df).orderBy("row_id").collect()
+    monkeypatch.setattr(estimator, "INLINE_LOADINGS", 3)
+    got = model.copy().copy()
+    got._local = None
+    got = got.transform(df).orderBy("row_id").collect()
+    for i in range(3):
+        for name in (f"score_v{i}", f"prediction_v{i}"):
+            assert np.allclose([r[name] for r in got], [r[name] for r in want])
+    monkeypatch.setattr(estimator, "INLINE_WEIGHTS", 3)
+    with pytest.raises(ValueError):
+        other = model.copy()
+        other._local = None
+        other.transform(df)
+
+
 def test_transform_matches_long_form(fitted, data):
     model, df = fitted
     cells = cells_from_arrays(df, "row_id", COLS)

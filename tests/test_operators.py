@@ -7,8 +7,8 @@ from polyview import operators as ops
 from polyview.functions import safe_corr, soft_threshold, sparse_dot
 from polyview.sources import (
     cells_from_arrays, cells_from_columns, cells_from_facts, dense_index, feature_vectors,
-    fill_missing, low_rank_cells, match_subjects, matrix_rows, ordered_cells, read_matrix_text,
-    vector_table,
+    feature_vectors_from_arrays, fill_missing, low_rank_cells, match_subjects, matrix_rows,
+    ordered_cells, read_matrix_text, vector_table,
 )
 
 CELLS = "view_idx int, row_id bigint, feature_id bigint, value double"
@@ -180,6 +180,19 @@ def test_dense_forms(spark, x):
     assert [r["value"] for r in vector_table(spark, [1, 2]).orderBy("feature_id").collect()] == [1, 2]
 
 
+def test_vectors_from_arrays(spark, x):
+    df = spark.createDataFrame([(r * 3, v.tolist(), v[:2].tolist()) for r, v in enumerate(x)],
+                               "k bigint, a array<double>, b array<double>")
+    ids = dense_index(df.select(F.col("k").alias("row_id")), ["row_id"], "row_idx")
+    out = feature_vectors_from_arrays(df.repartition(5), "k", [F.col("a"), F.col("b")], ids, 12, chunk_cols=3)
+    got = {(r["view_idx"], r["feature_id"]): r["vec"] for r in out.collect()}
+    assert len(got) == 9
+    assert all(got[0, f] == x[:, f].tolist() for f in range(7)) and got[1, 1] == x[:, 1].tolist()
+    broken = df.withColumn("b", F.when(F.col("k") != 3, F.col("b")))
+    with pytest.raises(PySparkException):
+        feature_vectors_from_arrays(broken, "k", [F.col("a"), F.col("b")], ids, 12).collect()
+
+
 def test_text_matrix(spark, tmp_path, x):
     np.savetxt(tmp_path / "m.txt", x)
     got = array(read_matrix_text(spark, str(tmp_path / "m.txt"), 1), "row_id", "feature_id", x.shape)
