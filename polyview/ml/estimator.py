@@ -201,6 +201,18 @@ class MultiViewCCA(
     def setFullDeflation(self, value: bool):
         return self._set(fullDeflation=value)
 
+    def getFullDeflation(self) -> bool:
+        return self.getOrDefault(self.fullDeflation)
+
+    def getPlan(self) -> str:
+        return self.getOrDefault(self.plan)
+
+    def setMaxCovarianceFeatures(self, value: int):
+        return self._set(maxCovarianceFeatures=value)
+
+    def setMaxGramSubjects(self, value: int):
+        return self._set(maxGramSubjects=value)
+
     def setPlan(self, value: str):
         if value not in ("auto", "covariance", "gram", "sparse"):
             raise ValueError("plan must be auto, covariance, gram or sparse")

@@ -6,6 +6,9 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 
 log = logging.getLogger("polyview")
@@ -75,3 +78,14 @@ def symmetric(component: int, d: int, lower: dict) -> list[tuple[int, int, int,
         (component, i, j, 0.0 if i == j else float(lower[max(i, j), min(i, j)]))
         for i in range(d) for j in range(d)
     ]
+
+
+def add_partials(partials: DataFrame, *keys: str) -> dict[tuple, np.ndarray]:
+    """Sum the arrays that tasks emitted per key; the sums fit on the driver."""
+    table = (
+        partials.groupBy(*keys)
+        .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        .toArrow()
+    )
+    names = zip(*[table.column(k).to_pylist() for k in keys])
+    return {key: s.values.to_numpy() for key, s in zip(names, table.column("sums"))}

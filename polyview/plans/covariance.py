@@ -10,13 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.common import (
-    GO, LOADINGS, FitOptions, FitResult, deflated_by, others, stop_state, symmetric, warn_zero,
+    GO, LOADINGS, FitOptions, FitResult, add_partials, deflated_by, others, stop_state, symmetric, warn_zero,
 )
 from polyview.session import scan_tasks
 
@@ -66,13 +64,9 @@ def cross_covariances(
     origin = np.array([x for v in first for x in v], dtype=float) if centered else np.zeros(sum(widths))
     if not np.isfinite(origin).all():
         raise ValueError("null, NaN or infinite entry in a view")
-    merged = (
-        scan_tasks(arrays, 4 * sum(widths) ** 2).mapInArrow(_cross_sums(widths, origin), "line int, sums array<double>")
-        .groupBy("line")
-        .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-        .collect()
-    )
-    lines = {r["line"]: np.array(r["sums"]) for r in merged}
+    partials = scan_tasks(arrays, 4 * sum(widths) ** 2).mapInArrow(
+        _cross_sums(widths, origin), "line int, sums array<double>")
+    lines = {line: sums for (line,), sums in add_partials(partials, "line").items()}
     n = int(lines[-1][-1])
     total = lines[-1][:-1]
     starts = np.concatenate([[0], np.cumsum(widths)])

@@ -11,13 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.common import (
-    GO, LOADINGS, FitOptions, FitResult, deflated_by, others, stop_state, symmetric, warn_zero,
+    GO, LOADINGS, FitOptions, FitResult, add_partials, deflated_by, others, stop_state, symmetric, warn_zero,
 )
 from polyview.session import BROADCAST_ROWS, cut_lineage, lookup, scan_tasks
 from polyview.sources.views import feature_vectors
@@ -40,7 +38,7 @@ def _floats(rows):
     return pa.array(rows, pa.list_(pa.float64()))
 
 
-def _moments_pass(centered, gram, n_prior):
+def _moments_pass(centered):
     """Per task: lines of ``A'A``, ``A'P`` and ``P'P`` for features A (by subject)
     and their columns P: earlier loadings and, last, a start value."""
 
@@ -49,12 +47,11 @@ def _moments_pass(centered, gram, n_prior):
         for batch in filter(len, batches):
             x = _matrix(batch, centered=centered)
             p = _matrix(batch, "extra")
-            gg = x.T @ x if gram else 0.0
-            uu, mm = p.T @ x, p.T @ p
-            g, u, m = (gg, uu, mm) if u is None else (g + gg, u + uu, m + mm)
-        if u is not None:
+            gg, uu, mm = x.T @ x, p.T @ x, p.T @ p
+            g, u, m = (gg, uu, mm) if g is None else (g + gg, u + uu, m + mm)
+        if g is not None:
             # The Gram matrix is symmetric: its lower triangle is enough.
-            lines = ([("g", i, r[:i + 1]) for i, r in enumerate(g)] if gram else [])
+            lines = [("g", i, r[:i + 1]) for i, r in enumerate(g)]
             lines += [("u", i, r) for i, r in enumerate(u)]
             lines += [("m", i, r) for i, r in enumerate(m)]
             yield _record(
@@ -136,17 +133,20 @@ def _readout_pass(centered, y, c, removed, scale):
     def run(batches):
         for batch in filter(len, batches):
             prior = _matrix(batch, "extra")[:, removed]
-            z = (_matrix(batch, centered=centered) @ y + prior @ c) * scale
-            yield _kept(batch, z)
+            raw = _matrix(batch)
+            center = raw.mean(axis=1)
+            x = raw - center[:, None] if centered else raw
+            yield _kept(batch, (x @ y + prior @ c) * scale, center=center)
 
     return run
 
 
-def _kept(batch, z):
+def _kept(batch, z, **more):
     keep = np.flatnonzero(z)
     return _record(
         feature_id=batch.column("feature_id").take(pa.array(keep)),
         value=pa.array(z[keep], pa.float64()),
+        **{name: pa.array(v[keep], pa.float64()) for name, v in more.items()},
     )
 
 
@@ -186,27 +186,19 @@ class _View:
             F.concat(F.slice("extra", 1, k), F.array("value")).alias("extra"),
         )
 
-    def moments(self, features: DataFrame, gram: bool = True) -> dict:
+    def moments(self, features: DataFrame) -> dict:
         k = len(self.components)
-        rows = (
-            scan_tasks(features, 4 * self.n ** 2)
-            .mapInArrow(_moments_pass(self.centered, gram, k),
-                        "part string, line int, sums array<double>")
-            .groupBy("part", "line")
-            .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-            .collect()
-        )
-        got = {(r["part"], r["line"]): np.array(r["sums"]) for r in rows}
+        partials = scan_tasks(features, 4 * self.n ** 2).mapInArrow(
+            _moments_pass(self.centered), "part string, line int, sums array<double>")
+        got = add_partials(partials, "part", "line")
         n = self.n
 
         def stack(part, count, width):
             return np.array([got.get((part, i), np.zeros(width)) for i in range(count)]).reshape(count, width)
 
-        u, m, g = stack("u", k + 1, n), stack("m", k + 1, k + 1), None
-        if gram:
-            g = np.zeros((n, n))
-            for i in range(n):
-                g[i, :i + 1] = g[:i + 1, i] = got.get(("g", i), 0.0)
+        u, m, g = stack("u", k + 1, n), stack("m", k + 1, k + 1), np.zeros((n, n))
+        for i in range(n):
+            g[i, :i + 1] = g[:i + 1, i] = got.get(("g", i), 0.0)
         return {
             "g": g,
             "u": u[:k], "m": m[:k, :k], "start": u[k], "overlap": m[:k, k],
@@ -220,6 +212,9 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
     sigmas: list[dict] = []
     steps: dict = {}
     full: dict[int, np.ndarray] = {}
+    # Per view: score vectors of the finished loadings and their inner products.
+    scored = [np.zeros((0, n)) for _ in views]
+    inner = [np.zeros((0, 0)) for _ in views]
     saved: list[tuple[int, int, DataFrame]] = []
 
     def sigma_row(i, j, comps):
@@ -257,10 +252,9 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
                         continue
                     known = restricted[j]
                 else:
-                    first = j not in full
-                    known = views[j].moments(views[j].features, gram=first)
-                    full.setdefault(j, known["g"])
-                    known = {**known, "g": full[j]}
+                    if j not in full:
+                        full[j] = views[j].moments(views[j].features)["g"]
+                    known = {"g": full[j], "u": scored[j], "m": inner[j]}
                 state[j] = {"g": known["g"], "u": known["u"], "m": known["m"],
                             "sigma": sigma_row(i, j, comps)}
             pairs = _power_pairs(views[i], state, best_columns(i, state, k) if state else {},
@@ -286,7 +280,8 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
                 restricted[i] = views[i].moments(views[i].on_support(start, size))
 
         removed = deflated_by(k, opts.full_deflation)
-        scores, overlaps, outs = _refit(restricted, sigma_row, removed, k, opts)
+        scores, dots, outs = _refit(restricted, sigma_row, removed, n, k, opts)
+        overlaps = [o[removed] for o in dots]
         lower = {}
         for i in range(d):
             for j in range(i):
@@ -294,6 +289,9 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
                 value -= float(np.sum(sigma_row(i, j, removed) * overlaps[i] * overlaps[j]))
                 lower[i, j] = value
         for i in range(d):
+            scored[i] = np.vstack([scored[i], scores[i]])
+            corner = np.array([[0.0 if starts[i] is None else 1.0]])
+            inner[i] = np.block([[inner[i], dots[i][:, None]], [dots[i][None, :], corner]])
             if starts[i] is None:
                 empty = spark.createDataFrame([], "feature_id bigint, value double")
                 views[i].add(empty, 0)
@@ -302,11 +300,11 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
             loading = cut_lineage(
                 views[i].on_support(*starts[i]).mapInArrow(
                     _readout_pass(views[i].centered, y, c, removed, scale),
-                    "feature_id bigint, value double",
+                    "feature_id bigint, value double, center double",
                 )
             )
             saved.append((k, i, loading))
-            views[i].add(loading, starts[i][1])
+            views[i].add(loading.select("feature_id", "value"), starts[i][1])
         sigmas.append(lower)
     return saved, sigmas, steps
 
@@ -333,17 +331,12 @@ def _power_pairs(view, state, tops, rho, k, opts):
         if not run:
             break
         shared = sc.broadcast({j: (p["y"], p["a"], p["r"]) for j, p in run.items()})
-        rows = (
-            scan_tasks(view.features)
-            .mapInArrow(_step_pass(view.centered, shared, k), "other int, sums array<double>")
-            .groupBy("other")
-            .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-            .collect()
-        )
+        partials = scan_tasks(view.features).mapInArrow(
+            _step_pass(view.centered, shared, k), "other int, sums array<double>")
+        found = add_partials(partials, "other")
         shared.unpersist()
-        for r in rows:
-            p, s = run[r["other"]], state[r["other"]]
-            sums = np.array(r["sums"])
+        for (j,), sums in found.items():
+            p, s = run[j], state[j]
             p["loss"].append(float(sums[-1]))
             u, w = sums[:view.n], s["sigma"] * sums[view.n:-1]
             y, a, norm = _advance(s, u, w)
@@ -361,24 +354,24 @@ def _advance(s, u, w):
     return y, a, float(np.sqrt(max(square, 0.0)))
 
 
-def _refit(restricted, sigma_row, removed, k, opts):
+def _refit(restricted, sigma_row, removed, n, k, opts):
     """Refit each view on its support in subject space.
 
     A loading on the support has the form ``(X' y + Z' c) * scale``, so its
     score vector and its overlap with earlier loadings follow from the
-    restricted Gram matrices alone.
+    restricted Gram matrices alone.  Returns the scores, the overlaps with all
+    earlier loadings, and ``(y, c, scale)`` per view.
     """
     d = len(restricted)
-    n = next((len(r["start"]) for r in restricted if r), 1)
     scores = [np.zeros(n) for _ in range(d)]
-    overlaps = [np.zeros(len(removed)) for _ in range(d)]
+    overlaps = [np.zeros(k) for _ in range(d)]
     outs: list = [None] * d
     for i in range(d):
         mine = restricted[i]
         if mine is None:
             continue
-        u_i, m_i = mine["u"][removed], mine["m"][np.ix_(removed, removed)]
-        g, e = mine["start"], mine["overlap"][removed]
+        u_i, m_i = mine["u"][removed], mine["m"][:, removed]
+        g, e = mine["start"], mine["overlap"]
         losses, counter = [], 1
         while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
             y, c = np.zeros(n), np.zeros(len(removed))
@@ -389,18 +382,18 @@ def _refit(restricted, sigma_row, removed, k, opts):
                 s = sigma_row(i, j, removed)
                 if j < i:
                     y += scores[j]
-                    c -= s * overlaps[j]
+                    c -= s * overlaps[j][removed]
                 else:
                     u_j, m_j = his["u"][removed], his["m"][np.ix_(removed, removed)]
-                    f = s * e
+                    f = s * e[removed]
                     y += his["g"] @ g - f @ u_j
                     c -= s * (u_j @ g - m_j @ f)
             gy = mine["g"] @ y
-            square = y @ gy + 2.0 * (c @ (u_i @ y)) + c @ m_i @ c
+            square = y @ gy + 2.0 * (c @ (u_i @ y)) + c @ m_i[removed] @ c
             norm = float(np.sqrt(max(square, 0.0)))
             losses.append(-2.0 * norm)
             scale = 1.0 / norm if norm > 0 else 1.0
-            g, e = (gy + c @ u_i) * scale, (u_i @ y + m_i @ c) * scale
+            g, e = (gy + c @ u_i) * scale, (mine["u"] @ y + m_i @ c) * scale
             outs[i] = (y, c, scale)
             counter += 1
         scores[i], overlaps[i] = g, e
@@ -426,16 +419,12 @@ def fit(vectors: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitR
                 z.select(F.lit(k).alias("component"), F.lit(i).alias("view_idx"), "feature_id",
                          F.col("value").alias("loading"))
             )
-        means = (
-            vectors.join(loadings, ["view_idx", "feature_id"])
-            .groupBy("component", "view_idx")
-            .agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / n * F.col("loading")).alias("m"))
-            .collect()
-        )
+        means = [
+            (k, i, z.agg(F.coalesce(F.sum(F.col("value") * F.col("center")), F.lit(0.0))).first()[0])
+            for k, i, z in saved]
     finally:
         for view in views:
             view.features.unpersist()
         vectors.unpersist()
     sigma = [row for k, s in enumerate(sigmas) for row in symmetric(k, len(widths), s)]
-    return FitResult(loadings, sigma, [(r["component"], r["view_idx"], r["m"]) for r in means],
-                     list(widths), steps)
+    return FitResult(loadings, sigma, means, list(widths), steps)

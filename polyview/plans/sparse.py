@@ -525,6 +525,9 @@ def solve(matrices: list[Matrix], opts: FitOptions):
                         .agg(F.coalesce(F.sum(F.col("_a") * F.col("value")), F.lit(0.0))).first()[0])
                 lower[i, j] = value
         sigmas.append(lower)
+        for side in small:
+            if side is not None:
+                side.matrix.release()
         for i in range(d):
             if final[i] is None:
                 priors[i].append((empty, 0))

@@ -248,6 +248,19 @@ def test_heavy_subject_is_spread(spark):
     assert all(np.abs(x - y).max() < 1e-8 for x, y in zip(a, b))
 
 
+@pytest.mark.parametrize("plan", ["gram", "sparse"])
+def test_vectors_too_large_to_broadcast(spark, monkeypatch, plan):
+    """With a tiny broadcast bound every lookup moves both sides instead."""
+    from polyview import session
+    for module in (session, gram, sparse):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    xs = correlated(30, (9, 7), seed=12)
+    want, _ = direct.fit(xs, 2, (0.1, 0.1), cap=3)
+    model = MultiViewCCA(inputCols=["v0", "v1"], k=2, plan=plan, maxIter=3).fit(frame(spark, xs))
+    got = dense(model)
+    assert all(np.abs(got[i][c] - want[c][i]).max() < 1e-8 for i in range(2) for c in range(2))
+
+
 def test_parameters(spark):
     cca = MultiViewCCA()
     assert (cca.getK(), cca.getMaxIter(), cca.getRhos(), cca.getTol()) == (1, 1000, [0.1], 1e-4)
