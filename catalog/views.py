@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyview.session import spread
 from polyview.sources import cells_from_arrays, cells_from_facts, dense_index, match_subjects
 
 # Subject key and the embedding dimensions of each view: (first, count).
@@ -90,7 +91,8 @@ def document_cells(spark: SparkSession, sf_dir: str, buckets: int = 16384) -> tu
 
     Whole texts; both views are counts of md5 buckets.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.lower("text").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.lower("text").alias("text")))
     words = docs.select(
         "row_id", F.explode(F.split("text", r"\s+")).alias("token")
     ).filter(F.col("token") != "")

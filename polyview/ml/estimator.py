@@ -83,12 +83,13 @@ def _weighted_sum(terms: Sequence[tuple[Column, Column]], width: int) -> Column:
     """``sum of number * array`` as an array of ``width`` entries."""
     if not terms:
         return F.array_repeat(F.lit(0.0), width)
-    if len(terms) == 1:
-        number, weights = terms[0]
-        return F.transform(weights, lambda w: number * w)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda f: sum((number * F.get(weights, f) for number, weights in terms), F.lit(0.0)))
+    # The number is repeated outside the lambda, so it is computed once per row
+    # and not once per entry.
+    total = None
+    for number, weights in terms:
+        part = F.zip_with(weights, F.array_repeat(number, width), lambda w, x: w * x)
+        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
+    return total
 
 
 class _Shared(HasInputCols, HasStandardization):

@@ -55,3 +55,13 @@ def scan_tasks(df: DataFrame, partial_bytes: int = 0) -> DataFrame:
     if partial_bytes:
         tasks = max(cores, min(tasks, PARTIAL_BYTES // partial_bytes))
     return df.coalesce(max(1, tasks))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores.
+
+    Meant for scans that feed heavy row-wise work.  Such an input is small (a
+    few splits), so the shuffle is too; larger inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
