@@ -7,15 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from polyview.llm.chat import format_conversations, read_back
 from polyview.llm.common import table
+from polyview.llm.licenses import scan_licenses
 from polyview.llm.packing import pack_documents
 from polyview.llm.pieces import round_trip
+from polyview.llm.pii import pseudonymise
+from polyview.llm.simhash import near_duplicates
 from polyview.llm.token_counts import token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymise(table(spark, folder, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), WORDS)
 
@@ -24,11 +36,23 @@ def op5_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "documents"), PIECES)
 
 
+def op6_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pack_sequences, op5_piece_round_trip, op7_token_counts)
-}
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_pii_pseudonyms, op2_license_scan, op4_pack_sequences, op5_piece_round_trip, op6_simhash_components,
+    op7_token_counts, op8_chat_format)}
 SQL: dict[str, str] = {}
