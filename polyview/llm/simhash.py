@@ -110,7 +110,7 @@ class Tree:
 
 def plan_tree(rows: int, radius: int, meetings: int = MEETINGS) -> Tree:
     """The shallowest tree whose leaves are small enough."""
-    for depth in (2, 4, 8, 16):
+    for depth in (4, 8, 16):
         tree = Tree(depth, radius)
         if rows * tree.share() <= meetings:
             break
