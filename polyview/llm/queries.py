@@ -13,6 +13,7 @@ from polyview.llm.licenses import scan_licenses
 from polyview.llm.packing import pack_documents
 from polyview.llm.pieces import round_trip
 from polyview.llm.pii import pseudonymise
+from polyview.llm.quality import judge
 from polyview.llm.simhash import near_duplicates
 from polyview.llm.token_counts import token_counts
 
@@ -52,7 +53,11 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_license_scan, op4_pack_sequences, op5_piece_round_trip, op6_simhash_components,
-    op7_token_counts, op8_chat_format)}
+    op7_token_counts, op8_chat_format, op9_quality_rules)}
 SQL: dict[str, str] = {}
