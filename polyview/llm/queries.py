@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from polyview.llm.chat import format_conversations, read_back
 from polyview.llm.common import table
 from polyview.llm.licenses import scan_licenses
+from polyview.llm.neighbours import nearest
 from polyview.llm.packing import pack_documents
 from polyview.llm.pieces import round_trip
 from polyview.llm.pii import pseudonymise
 from polyview.llm.quality import judge
 from polyview.llm.simhash import near_duplicates
 from polyview.llm.token_counts import token_counts
+from polyview.llm.urls import RULES, filter_urls
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +31,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
 
 
+def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), WORDS)
 
@@ -57,7 +63,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii_pseudonyms, op2_license_scan, op4_pack_sequences, op5_piece_round_trip, op6_simhash_components,
-    op7_token_counts, op8_chat_format, op9_quality_rules)}
+    op1_pii_pseudonyms, op2_license_scan, op3_nearest_vectors, op4_pack_sequences, op5_piece_round_trip,
+    op6_simhash_components, op7_token_counts, op8_chat_format, op9_quality_rules, op10_url_filter)}
 SQL: dict[str, str] = {}
