@@ -120,16 +120,33 @@ def scored(rows: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFr
     return rows.withColumn("ratio_table", table.scalar()).withColumn("score", total / grams).drop("ratio_table")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, carried: Column, threshold: float, buckets: int, trusted: int,
+            id_col: str, text_col: str) -> DataFrame:
+    """``carried`` and the columns of the verdict; a struct keeps other columns' names apart."""
+    ratios = cut_lineage(log_ratios(docs, labels, buckets, trusted, SMOOTHING, id_col, text_col))
+    rows = docs.select(carried.alias("carried"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
+    rows = with_base_columns(scored(rows, ratios, buckets))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
           trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept.
 
     One row per input row.  Null and empty texts have no words and fail the base rules.
+    Without trusted documents all scores are 0 and the base rules decide.
     """
-    ratios = cut_lineage(log_ratios(docs, labels, buckets, trusted, SMOOTHING, id_col, text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-    rows = with_base_columns(scored(rows, ratios, buckets))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed",
-        (~failed & (F.col("score") >= threshold)).alias("kept"))
+    rows = _judged(docs, labels, F.struct(F.col(id_col).cast("long").alias("doc_id")), threshold, buckets, trusted,
+                   id_col, text_col)
+    return rows.select("carried.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
+                       "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
+              trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose verdict is kept, with their own columns."""
+    rows = _judged(docs, labels, F.struct("*"), threshold, buckets, trusted, id_col, text_col)
+    # The optimiser would push the filter below the projections and repeat their arrays in it, lambdas
+    # included; a column that is not deterministic keeps it above them.
+    return rows.withColumn("part", F.spark_partition_id()).filter("kept and part >= 0").select("carried.*")

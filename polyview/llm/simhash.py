@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyview.llm.common import id_and_text, slices
@@ -49,14 +49,16 @@ def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and bits (the fingerprint as a signed long); null and empty texts have 0."""
+    """doc_id, text_hash and bits (the fingerprint as a signed long); null and empty texts have 0."""
 
     def run(batches):
         for part in slices(batches):
             bits = np.array([fingerprint(t, width) for t in part["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["text_hash"], pa.array(bits.view(np.int64))], ["doc_id", "text_hash", "bits"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, bits long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, bits long")
 
 
 class Tree:
@@ -198,6 +200,13 @@ def near_links(distinct: DataFrame, rows: int, radius: int = 2, meetings: int =
     return sent.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "a long, b long")
 
 
+def groups(distinct: DataFrame, radius: int, meetings: int) -> DataFrame:
+    """bits, root (the smallest fingerprint of its component) of every fingerprint that has links."""
+    roots = components(near_links(distinct, distinct.count(), radius, meetings))
+    return roots.select(F.col("node").alias("bits"), "root").unionAll(
+        roots.select(F.col("root").alias("bits"), "root").distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, meetings: int = MEETINGS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable by links).
@@ -207,14 +216,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, meetings:
     """
     marked = cut_lineage(fingerprints(docs, width, id_col, text_col))
     distinct = cut_lineage(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct, distinct.count(), radius, meetings))
     # Only fingerprints with links change: their components' smallest ids are found among themselves.
-    linked = roots.select(F.col("node").alias("bits"), "root").unionAll(
-        roots.select(F.col("root").alias("bits"), "root").distinct())
-    linked = linked.join(distinct, "bits")
+    linked = groups(distinct, radius, meetings).join(distinct, "bits")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(lowest, "root").select("bits", "component_id", F.lit(True).alias("linked"))
     of = distinct.join(named, "bits", "left").select(
         "bits", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return marked.join(of, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, meetings: int = MEETINGS,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with its own columns: that with the smallest id.
+
+    Rows without an id stay only if their whole group has none; of rows with equal ids the
+    one with the smallest hash of the text stays, and one of equal rows.
+    """
+    marked = fingerprints(docs, width, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"))
+    distinct = cut_lineage(marked.groupBy("bits").agg(first.alias("first")))
+    rooted = distinct.join(groups(distinct, radius, meetings), "bits", "left")
+    stays = rooted.groupBy(F.coalesce("root", "bits").alias("root")).agg(F.min("first").alias("first")).select(
+        F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
+    own = F.col(id_col).cast("long")
+    rows = docs.select(
+        F.struct("*").alias("carried"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+    keys = ["none", "id", "text_hash"]
+    equal = Window.partitionBy(*keys).orderBy(F.xxhash64("carried"))
+    return rows.join(stays, keys, "left_semi").withColumn("nth", F.row_number().over(equal)).filter(
+        "nth = 1").select("carried.*")
