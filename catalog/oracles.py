@@ -191,7 +191,7 @@ def build() -> dict[str, str]:
 
     # sources and reshapes
     put("view_cells_from_array", cells_out("e"), e)
-    put("matrix_text_roundtrip", cells_out("e", where="WHERE v = 0"), e)
+    put("matrix_text_roundtrip", cells_out("e"), e)
     out["view_cells_from_columns"] = (
         "SELECT 0::INTEGER view_idx, p_partkey::BIGINT row_id, 0::BIGINT feature_id, p_size::DOUBLE AS value FROM part "
         "UNION ALL SELECT 1, p_partkey, 0, p_retailprice FROM part")
@@ -346,7 +346,13 @@ def build() -> dict[str, str]:
     customer_dense(c)
     centred(c, "dense")
     cca(c, 3, 1, (0.1,), 3)
-    out["fit_customer_views"] = c.query(LOADINGS)
+    out["fit_customer_views"] = out["fit_customer_views_sparse"] = c.query(LOADINGS)
+    c = Ctes()
+    c.add("every", raw_embeddings(TWO))
+    c.add("e", "SELECT * FROM every WHERE r % 3 > 0")
+    centred(c, "e")
+    cca(c, 2, 1, (0.1,), 3)
+    out["fit_cells_subset_subjects"] = c.query(LOADINGS)
 
     # prediction
     c = embedding_fit(TWO, k=2)

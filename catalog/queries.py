@@ -102,12 +102,15 @@ def fill_missing_cells(spark, sf):
 
 
 def matrix_text_roundtrip(spark, sf):
-    """Write the first view as a text matrix (key first) and read it back."""
-    path = f"{ensure_checkpoint_dir(spark)}/matrix-{uuid.uuid4().hex}"
-    embedding_frame(spark, sf, TWO).select(
-        F.concat_ws(" ", F.col("row_id").cast("string"), F.array_join(F.col("v0").cast("array<string>"), " "))
-    ).write.text(path)
-    return rounded(read_matrix_text(spark, path, 0, row_id_first=True), "value")
+    """Write every view as a text matrix (key first) and read it back."""
+    frame, read = embedding_frame(spark, sf, TWO), []
+    for i in range(len(TWO)):
+        path = f"{ensure_checkpoint_dir(spark)}/matrix-{uuid.uuid4().hex}"
+        frame.select(
+            F.concat_ws(" ", F.col("row_id").cast("string"), F.array_join(F.col(f"v{i}").cast("array<string>"), " "))
+        ).write.text(path)
+        read.append(read_matrix_text(spark, path, i, row_id_first=True))
+    return rounded(read[0].unionByName(read[1]), "value")
 
 
 def subject_index(spark, sf):
@@ -417,6 +420,26 @@ def fit_customer_views(spark, sf):
     return _loadings(estimator(3).fit_cells(matched, widths=widths))
 
 
+def fit_customer_views_sparse(spark, sf):
+    cells, widths = customer_cells(spark, sf)
+    return _loadings(estimator(3, plan="sparse").fit_cells(match_subjects(cells, 3), widths=widths))
+
+
+def fit_cells_subset_subjects(spark, sf):
+    """Cells of subjects that are not listed take no part."""
+    cells = two(spark, sf)
+    listed = cells.select("row_id").distinct().filter("row_id % 3 > 0")
+    return _loadings(estimator(2, plan="sparse").fit_cells(cells, listed, widths=[n for _, n in TWO]))
+
+
+def fit_two_view_converged(spark, sf):
+    return _loadings(fitted(spark, sf, TWO, maxIter=1000, tol=1e-4)[0])
+
+
+def fit_three_view_converged(spark, sf):
+    return _loadings(fitted(spark, sf, THREE, maxIter=1000, tol=1e-4)[0])
+
+
 def fit_documents(spark, sf):
     """Words against character grams; wide and sparse, whole texts."""
     cells, widths = document_cells(spark, sf)
@@ -536,6 +559,10 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_k2": fit_k2,
     "fit_k3_three_view": fit_k3_three_view,
     "fit_customer_views": fit_customer_views,
+    "fit_customer_views_sparse": fit_customer_views_sparse,
+    "fit_cells_subset_subjects": fit_cells_subset_subjects,
+    "fit_two_view_converged": fit_two_view_converged,
+    "fit_three_view_converged": fit_three_view_converged,
     "fit_documents": fit_documents,
     "model_roundtrip": model_roundtrip,
     "prediction_weights": prediction_weights,

@@ -25,7 +25,7 @@ from polyview.plans import covariance, gram, sparse
 from polyview.plans.common import MEANS, SIGMA, FitOptions, FitResult, log
 
 from polyview.sources.views import (
-    _scatter, cells_from_arrays, dense_index, feature_vectors_from_arrays,
+    _scatter, cells_from_arrays, checked_cells, checked_subjects, dense_index, feature_vectors_from_arrays,
 )
 
 # Up to this many non-zero loadings are written into the plan as constants.
@@ -41,6 +41,12 @@ def view_column(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def whole_array(array: Column) -> Column:
+    """The array; a null array, or one with a null entry, fails the query on every path of scoring."""
+    return F.when(array.isNull() | F.exists(array, lambda x: x.isNull()), F.raise_error(
+        F.lit("null array or entry in a view"))).otherwise(array)
+
+
 def _pack_rows(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[int]) -> DataFrame:
     """All views of a subject in one dense array (used when the total width is small)."""
     start, offset = F.lit(0), 0
@@ -233,16 +239,25 @@ class MultiViewCCA(
             full_deflation=self.getOrDefault(self.fullDeflation))
 
     def _choose(self, widths: Sequence[int], count) -> str:
+        """The plan; one that is set by hand is held to the same bounds on what reaches the driver."""
         plan = self.getOrDefault(self.plan)
+        narrow = sum(widths) <= self.getOrDefault(self.maxCovarianceFeatures)
+        if plan == "covariance" and not narrow:
+            raise ValueError("the views are wider than maxCovarianceFeatures")
+        if plan == "gram" and count() > self.getOrDefault(self.maxGramSubjects):
+            raise ValueError("there are more subjects than maxGramSubjects")
         if plan != "auto":
             return plan
-        if sum(widths) <= self.getOrDefault(self.maxCovarianceFeatures):
+        if narrow:
             return "covariance"
         return "gram" if count() <= self.getOrDefault(self.maxGramSubjects) else "sparse"
 
     def _fit(self, dataset: DataFrame) -> "MultiViewCCAModel":
         cols = self.getInputCols()
         opts = self._options(len(cols))
+        if self.getRowCol() not in dataset.columns:
+            raise ValueError(f"there is no column {self.getRowCol()} for the subjects' keys")
+        subjects = checked_subjects(dataset.select(F.col(self.getRowCol()).alias("row_id")))
         views = [view_column(dataset, c) for c in cols]
         sizes = dataset.select(*[F.size(v).alias(f"n{i}") for i, v in enumerate(views)]).first()
         if sizes is None:
@@ -251,7 +266,6 @@ class MultiViewCCA(
         plan = self._choose(widths, dataset.count)
         if plan == "covariance":
             return self._model(covariance.fit(dataset, views, widths, opts), cols)
-        subjects = dataset.select(F.col(self.getRowCol()).cast("bigint").alias("row_id"))
         if plan == "gram":
             n = subjects.count()
             index = dense_index(subjects, ["row_id"], "row_idx", n)
@@ -262,8 +276,8 @@ class MultiViewCCA(
 
     def fit_cells(self, cells: DataFrame, subjects: DataFrame | None = None,
                   widths: Sequence[int] | None = None) -> "MultiViewCCAModel":
-        """Fit on long cells.  ``subjects(row_id)`` adds subjects without any cell,
-        ``widths`` gives the features per view when the last ones may be absent."""
+        """Fit on long cells.  ``subjects(row_id)`` names the subjects: those without any cell
+        count, cells of others are left out.  ``widths`` gives the features per view when the last ones may be absent."""
         if widths is None:
             found = {r["view_idx"]: r["w"] for r in
                      cells.groupBy("view_idx").agg((F.max("feature_id") + 1).alias("w")).collect()}
@@ -275,6 +289,8 @@ class MultiViewCCA(
         return self._fit_long(cells, subjects, list(widths), opts, cols)
 
     def _fit_long(self, cells, subjects, widths, opts, cols):
+        subjects = checked_subjects(subjects) if subjects is not None else None
+        cells = checked_cells(cells, subjects, widths)
         ids = subjects if subjects is not None else cells.select("row_id").distinct()
         plan = self._choose(widths, ids.count)
         if self.getVerbose():
@@ -364,7 +380,7 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
                     mine = sorted((r["feature_id"], r["loading"]) for r in rows
                                   if r["view_idx"] == i and r["component"] == q)
                     raw[i, q] = sparse_dot(
-                        view_column(dataset, c), [f for f, _ in mine], [w for _, w in mine])
+                        whole_array(view_column(dataset, c)), [f for f, _ in mine], [w for _, w in mine])
         out = dataset.withColumns({f"_s{i}_{q}": e for (i, q), e in raw.items()})
         if not self.getStandardization():
             mean = {key: F.lit(0.0) for key in raw}

@@ -17,7 +17,10 @@ from polyview.ml.estimator import view_column
 
 
 class PredictionEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
-    """Mean over all features of the outcome view of corr(prediction, actual)."""
+    """Mean over all features of the outcome view of corr(prediction, actual).
+
+    Without ``outcomeCol`` the first view that has a prediction is judged.
+    """
 
     outcomeCol = Param(Params._dummy(), "outcomeCol", "the view whose prediction is judged",
                        typeConverter=TypeConverters.toString)
@@ -35,7 +38,9 @@ class PredictionEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritabl
         return self.getOrDefault(self.outcomeCol)
 
     def metric(self, dataset: DataFrame) -> DataFrame:
-        name = self.getOutcomeCol()
+        mark = "prediction_"
+        name = self.getOutcomeCol() if self.isSet("outcomeCol") else next(
+            c.removeprefix(mark) for c in dataset.columns if c.startswith(mark) and c.removeprefix(mark) in dataset.columns)
         pairs = F.arrays_zip(
             view_column(dataset, name).cast("array<double>").alias("actual"),
             F.col(f"prediction_{name}").alias("predicted"))

@@ -173,7 +173,8 @@ def deflated_matvec(
         .join(sigma, "component")
         .select("component", (F.col("sigma") * F.col("dot")).alias("w"))
     )
-    correction = right_loadings.join(weight, "component").select(
+    # One row per component.
+    correction = right_loadings.join(F.broadcast(weight), "component").select(
         "feature_id", (-F.col("loading") * F.col("w")).alias("value")
     )
     return main.unionByName(correction).groupBy("feature_id").agg(F.sum("value").alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,16 @@ PARTIAL_BYTES = 32 << 30
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the session names, else a temporary one."""
+    """Folder for checkpoints: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a local master may go without: its tasks share the driver's temporary folder.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="polyview-"))
         current = sc.getCheckpointDir()
     return current

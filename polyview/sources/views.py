@@ -20,7 +20,7 @@ CELL_COLUMNS = ["view_idx", "row_id", "feature_id", "value"]
 
 
 def _bad(value: Column) -> Column:
-    return value.isNull() | F.isnan(value)
+    return value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
 
 
 def cells_from_arrays(
@@ -49,7 +49,7 @@ def cells_from_arrays(
         # Checked per array: a null array has no cell that could fail later.
         checked = {
             c: F.when(F.col(c).isNull() | F.exists(c, _bad),
-                      F.raise_error(F.lit("null or NaN entry in a view"))).otherwise(F.col(c))
+                      F.raise_error(F.lit("null, NaN or infinite entry in a view"))).otherwise(F.col(c))
             for c in names}
     stacked = F.array(
         *[F.struct(F.lit(i).alias("view_idx"), checked[c].alias("vals")) for i, c in enumerate(names)]
@@ -133,12 +133,48 @@ def dense_index(
     )
 
 
+def checked_subjects(subjects: DataFrame) -> DataFrame:
+    """``row_id`` of the subjects; a null or repeated key raises."""
+    ids = subjects.select(F.col("row_id").cast("bigint").alias("row_id"))
+    found = ids.groupBy("row_id").count().agg(
+        F.max("count").alias("most"), F.max(F.col("row_id").isNull()).alias("null")).first()
+    if found["null"]:
+        raise ValueError("a subject has a null key")
+    if (found["most"] or 0) > 1:
+        raise ValueError("a subject's key is repeated")
+    return ids
+
+
+def checked_cells(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[int]) -> DataFrame:
+    """The cells of the given subjects, checked in one grouped pass.
+
+    A null key, a view or feature out of range, a null, NaN or infinite value and a
+    repeated (view, row, feature) raise; all fitting plans get the same cells.
+    """
+    typed = cells.select(
+        F.col("view_idx").cast("int").alias("view_idx"), F.col("row_id").cast("bigint").alias("row_id"),
+        F.col("feature_id").cast("bigint").alias("feature_id"), F.col("value").cast("double").alias("value"))
+    if subjects is not None:
+        typed = typed.join(subjects.select("row_id"), "row_id", "left_semi").select(*CELL_COLUMNS)
+    keys = CELL_COLUMNS[:3]
+    width = F.get(F.lit([int(w) for w in widths]), F.when(F.col("view_idx") >= 0, F.col("view_idx")))
+    null = F.col("view_idx").isNull() | F.col("row_id").isNull() | F.col("feature_id").isNull()
+    outside = ~F.coalesce((F.col("feature_id") >= 0) & (F.col("feature_id") < width), F.lit(False))
+    found = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(_bad(F.col("value"))).alias("bad")).agg(
+        F.max(null).alias("a cell has a null key"), F.max(outside).alias("a cell is outside the views"),
+        F.max("bad").alias("a cell is null, NaN or infinite"),
+        F.max(F.col("n") > 1).alias("a cell is repeated")).first().asDict()
+    for fault, holds in found.items():
+        if holds:
+            raise ValueError(fault)
+    return typed
+
+
 def match_subjects(cells: DataFrame, n_views: int) -> DataFrame:
     """Keep the subjects that occur in every view; views are matched by key."""
-    seen = cells.groupBy("row_id").agg(
-        F.bit_or(F.expr("shiftleft(1L, view_idx)")).alias("seen")
-    )
-    everywhere = seen.filter(F.col("seen") == (1 << n_views) - 1).select("row_id")
+    inside = cells.filter(F.col("view_idx").between(0, n_views - 1))
+    seen = inside.groupBy("row_id").agg(F.size(F.collect_set("view_idx")).alias("seen"))
+    everywhere = seen.filter(F.col("seen") == n_views).select("row_id")
     return cells.join(everywhere, "row_id", "left_semi").select(*CELL_COLUMNS)
 
 
