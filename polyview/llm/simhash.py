@@ -25,6 +25,7 @@ from polyview.session import cut_lineage
 VANTAGE = 0x5A17C3E99B64D02F
 # Leaves are made so small that a fingerprint meets about so many others in random data.
 MEETINGS = 4096
+HOT = 1000
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -215,15 +216,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, meetings:
     Rows with a null doc_id take part; a component without any other id has a null component_id.
     """
     marked = cut_lineage(fingerprints(docs, width, id_col, text_col))
-    distinct = cut_lineage(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    distinct = cut_lineage(marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     # Only fingerprints with links change: their components' smallest ids are found among themselves.
     linked = groups(distinct, radius, meetings).join(distinct, "bits")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(lowest, "root").select("bits", "component_id", F.lit(True).alias("linked"))
-    of = distinct.join(named, "bits", "left").select(
-        "bits", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(of, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    of = cut_lineage(distinct.join(named, "bits", "left").select(
+        "bits", "rows", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
+    # A fingerprint with at least 1/HOT of all rows is looked up by broadcast: there are HOT of them at most.
+    hot = F.col("rows") * HOT >= marked.count()
+    often = F.broadcast(of.filter(hot).drop("rows"))
+    rows = marked.join(often, "bits").unionByName(
+        marked.join(often, "bits", "left_anti").join(of.filter(~hot).drop("rows"), "bits"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, meetings: int = MEETINGS,
