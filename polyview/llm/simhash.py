@@ -226,6 +226,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, meetings:
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rows_named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """carried (all columns), none (no id), id and text_hash of every row."""
+    own = F.col(id_col).cast("long")
+    return docs.select(
+        F.struct("*").alias("carried"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+
+
+def one_row_of(rows: DataFrame, stays: DataFrame) -> DataFrame:
+    """The carried columns of one row for each of none, id, text_hash in ``stays``."""
+    keys = ["none", "id", "text_hash"]
+    equal = Window.partitionBy(*keys).orderBy(F.xxhash64("carried"))
+    return rows.join(stays, keys, "left_semi").withColumn("nth", F.row_number().over(equal)).filter(
+        "nth = 1").select("carried.*")
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, meetings: int = MEETINGS,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with its own columns: that with the smallest id.
@@ -239,11 +255,4 @@ def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, meetings:
     rooted = distinct.join(groups(distinct, radius, meetings), "bits", "left")
     stays = rooted.groupBy(F.coalesce("root", "bits").alias("root")).agg(F.min("first").alias("first")).select(
         F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
-    own = F.col(id_col).cast("long")
-    rows = docs.select(
-        F.struct("*").alias("carried"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
-    keys = ["none", "id", "text_hash"]
-    equal = Window.partitionBy(*keys).orderBy(F.xxhash64("carried"))
-    return rows.join(stays, keys, "left_semi").withColumn("nth", F.row_number().over(equal)).filter(
-        "nth = 1").select("carried.*")
+    return one_row_of(rows_named(docs, id_col, text_col), stays)

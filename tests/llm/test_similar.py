@@ -1,0 +1,38 @@
+"""The pipeline's near-duplicates against the exact likeness of all pairs."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from polyview.llm.simhash import merge
+
+
+def plain(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_documents(spark, make, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    pairs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60, 400)))) for i in range(50)]
+    for i in range(60):  # some edited words; likeness on both sides of 0.8
+        own = pairs[i % 50][1].split()
+        for _ in range(max(1, len(own) * rng.randrange(1, 6) // 100)):
+            own[rng.randrange(len(own))] = "EDIT"
+        pairs.append((100 + i, " ".join(own)))
+    pairs += [(300, None), (301, ""), (302, "two WORDS"), (303, "Two words"), (None, pairs[3][1]), (None, "alone"), (7, pairs[7][1])]
+    sets = [plain(t) for _, t in pairs]
+    alike = [(a, b) for a in range(len(pairs)) for b in range(a)
+             if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any(len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b]) for a, b in alike if sets[a])
+    parent = np.arange(len(pairs))
+    merge(parent, *np.array(alike).T)
+    want = sorted(str(min((i for (i, _), p in zip(pairs, parent, strict=True) if p == root and i is not None), default=None))
+                  for root in set(parent.tolist()))
+    docs = make(pairs)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == want
+    assert not corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).collect()
