@@ -113,8 +113,13 @@ class Scanner:
         found = [(i, at, at + len(self.notices[i].words), 0) for i, starts in exact.items() for at in starts]
         for i, spans in windows.items():
             for low, high in spans:
-                for hit in self.patterns[i].finditer(joined, low, high):
-                    found.append((i, *hit.span(), sum(hit.fuzzy_counts)))
+                # The best match of a part comes first; what stands before and behind it is searched again.
+                parts = [(low, high)]
+                while parts:
+                    a, b = parts.pop()
+                    if hit := self.patterns[i].search(joined, a, b):
+                        found.append((i, *hit.span(), sum(hit.fuzzy_counts)))
+                        parts += [(a, hit.start()), (hit.end(), b)]
         spaces = [m.start() for m in re.finditer(" ", joined)]
         hits = []
         for i, start, end, edits in sorted(found):
