@@ -179,6 +179,35 @@ def iban(text: str, move: Move) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+# Lengths of IBANs by country, and of national numbers by country code.
+IBAN_LENGTHS = {c: int(n) for n, own in (
+    ("15", "NO"), ("16", "BE"), ("18", "DK FI FO GL NL"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU XK"),
+    ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS"), ("23", "AE GI IL"), ("24", "AD CZ ES MD PK RO SA SE SK TN"),
+    ("25", "PT"), ("26", "IS TR"), ("27", "FR GR IT MC SM"), ("28", "AL AZ CY DO GT HU LB PL"), ("29", "BR PS QA UA"),
+    ("30", "JO KW MU"), ("31", "MT")) for c in own.split()}
+PHONE_LENGTHS = {
+    "1": {10}, "7": {10}, "31": {9}, "32": {8, 9}, "33": {9}, "34": {9}, "41": {9}, "44": {9, 10}, "45": {8}, "47": {8},
+    "48": {9}, "52": {10}, "55": {10, 11}, "61": {9}, "65": {8}, "86": {10, 11}, "90": {10}, "91": {10}, "351": {9}, "420": {9}}
+
+
+def iban_ends(text: str) -> list[int]:
+    """The end that its country's length asks for, then the whole; of an unknown country all ends of groups."""
+    ends = [m.start() for m in re.finditer(" |$", text)][::-1]
+    if length := IBAN_LENGTHS.get(text[:2]):
+        return [e for e in ends if len(text[:e].replace(" ", "")) == length] + ends[:1]
+    return ends
+
+
+def phone_ends(text: str) -> list[int]:
+    """The last end of a group that gives a national number of its country's length, then the whole."""
+    code = re.match(r"\+([0-9]{1,3})[ .-]?(?:\(0\))?", text)
+    lengths = PHONE_LENGTHS.get(code[1], set()) if code else set()
+    ends = [m.start() for m in re.finditer(" |$", text)][::-1]
+    return [e for e in ends if len(re.sub(r"\D", "", text[code.end():e] if code else "")) in lengths][:1] + ends[:1]
+
+
+ENDS = {"iban": iban_ends, "phone": phone_ends}
+
 # Patterns with the function that validates a match and gives its pseudonym; the first that fits wins.
 KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "email": (r"(?<![\w.%+-])[\w%+-](?:[\w.%+-]{0,62}[\w%+-])?@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
@@ -189,7 +218,8 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
              r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-]|\.[0-9])", card),
     "ssn": (r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]|\.[0-9])", ssn),
     "ipv4": (r"(?<![\w.-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w-]|\.[0-9])", ipv4),
-    "date": (r"(?<![\w./-])(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])", date),
+    "date": (r"(?<![\w./-])(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}(?=T[0-9]{2}(?::?[0-9]{2}|(?!\w)))"
+             r"|(?:[0-9]{4}([./-])[0-9]{1,2}\2[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\3[0-9]{4})(?![\w/-]|\.[0-9]))", date),
 }
 
 
@@ -211,10 +241,16 @@ class Pseudonymiser:
         for kind, (pattern, rule) in self.patterns.items():
             if kind == "email" and "@" not in text:
                 continue
-            for hit in pattern.finditer(text):
-                new = rule(hit[0], self.move)
-                if new is not None:
-                    found.append((*hit.span(), kind, new))
+            hit = pattern.search(text)
+            while hit:
+                start, at = hit.start(), hit.start() + 1  # a rejected match is searched inside
+                for length in ENDS[kind](hit[0]) if kind in ENDS else [len(hit[0])]:
+                    new = rule(hit[0][:length], self.move)
+                    if new is not None:
+                        at = start + length
+                        found.append((start, at, kind, new))
+                        break
+                hit = pattern.search(text, at)
         # Kinds were searched in order of precedence; of two that overlap the earlier kind stays.
         kept: list[tuple[int, int, str, str]] = []
         order = {kind: i for i, kind in enumerate(KINDS)}
