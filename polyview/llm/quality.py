@@ -1,9 +1,11 @@
 """Quality by likeness to trusted text, with DataFrame functions only.
 
-Words and word pairs are hashed into a fixed number of buckets.  Two multinomials
-are counted: over trusted documents and over all documents.  A document's score
-is its mean log-likelihood ratio per gram; it stays if the score reaches a fixed
-threshold and it breaks none of the base rules.
+Words and word pairs are counted by their 64-bit hashes, in a table that grows with
+the distinct ones.  Two multinomials are counted: over trusted documents and over
+all documents.  A document's score is its mean log-likelihood ratio per gram, its
+own counts left out of the target; it stays if the score reaches a threshold that
+is calibrated on the labels and it breaks none of the base rules.  A caller that
+names a number of buckets gets a table of that size with a fixed threshold instead.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.session import cut_lineage
+from polyview.session import BROADCAST_ROWS, cut_lineage
 
-BUCKETS = 1 << 14
 # Trusted documents used for the target counts; their ids are broadcast (8 bytes each).
 TRUSTED = 20_000
 SMOOTHING = 1.0
+# The threshold where a number of buckets is named.
 THRESHOLD = -0.05
+# Scores are binned to so much for the calibration.
+BIN = 1e-3
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -27,7 +31,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
+def buckets_of(words: Column, buckets: int) -> Column:
     """Buckets of all words, then of all pairs of neighbours; ``words`` must be a plain column."""
     single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
     pairs = F.transform(
@@ -81,7 +85,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
         F.xxhash64("trusted_id"), "trusted_id").limit(most)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED,
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int = TRUSTED,
                smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, ratio: log of the trusted over the raw probability, for all buckets.
 
@@ -108,7 +112,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
         - F.log((F.col("raw") + smoothing) / F.lit(totals["raw"] + above))).alias("ratio"))
 
 
-def scored(rows: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def scored(rows: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     """Adds score, the mean log ratio per gram of the column words; 0 without grams.
 
     The table becomes one array of fixed size, which a scalar subquery reads once.
@@ -120,17 +124,114 @@ def scored(rows: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFr
     return rows.withColumn("ratio_table", table.scalar()).withColumn("score", total / grams).drop("ratio_table")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, carried: Column, threshold: float, buckets: int, trusted: int,
+def counted_grams(words: DataFrame) -> DataFrame:
+    """key, doc_id, good, total, gram, n: how often each gram stands in each row of words.  Rows without words are left out."""
+    hashes = F.concat(
+        F.transform("words", lambda w: F.xxhash64(w)),
+        F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
+                    lambda w, i: F.xxhash64(w, F.get("words", i + 1))))
+    rows = words.select("key", "doc_id", "good", (2 * F.size("words") - 1).cast("long").alias("total"),
+                        F.sort_array(hashes).alias("_all"))
+    starts = F.filter(F.transform("_all", lambda h, i: F.when((i == 0) | (F.get("_all", i - 1) != h), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts)
+    items = F.transform("_starts", lambda s, i: F.struct(
+        F.get("_all", s).alias("gram"),
+        (F.coalesce(F.get("_starts", i + 1), F.size("_all")) - s).cast("long").alias("n")))
+    rows = rows.select("key", "doc_id", "good", "total", items.alias("_items"))
+    rows = rows.select("key", "doc_id", "good", "total", F.explode_outer("_items").alias("item"))
+    return rows.select("key", "doc_id", "good", "total", "item.gram", "item.n").filter("gram IS NOT NULL")
+
+
+def key_of(id_col: str, text_col: str) -> Column:
+    """Rows of equal ids and texts share a score."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def gram_scores(docs: DataFrame, labels: DataFrame, smoothing: float = SMOOTHING, head: int = BROADCAST_ROWS // 2,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, doc_id, total (grams), score of every distinct id and text with words, over the counts of all grams.
+
+    The commonest grams, ``head`` at most, are looked up by broadcast; they are added up where
+    their row stands, so only the others travel, to their counts.
+    """
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(
+        F.col("doc_id").cast("long").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
+    marked = docs.select(key_of(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
+                         words_of(F.col(text_col)).alias("words"))
+    marked = marked.join(good, F.col("doc_id") == F.col("trusted_id"), "left").withColumn(
+        "good", F.col("trusted_id").isNotNull())
+    each = counted_grams(marked)
+    counts = cut_lineage(each.groupBy("gram").agg(
+        F.sum("n").alias("raw_n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good_n")))
+    sizes = counts.groupBy(F.floor(F.log2("raw_n")).cast("int").alias("size")).agg(
+        F.count(F.lit(1)).alias("grams"), F.sum("raw_n").alias("raw_n"), F.sum("good_n").alias("good_n")).collect()
+    distinct, all_raw, all_good = (sum(r[c] for r in sizes) for c in ("grams", "raw_n", "good_n"))
+    least, held = 63, 0
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        if (held := held + row["grams"]) > head:
+            break
+        least = row["size"]
+    common, rare = F.col("raw_n") >= F.lit(1 << least if least < 63 else (1 << 63) - 1), smoothing * distinct
+    # Equal rows would count twice in a sum by key; each one of them has its own part of it.
+    own = F.when(F.col("good"), F.col("n")).otherwise(0)
+    own_total = F.when(F.col("good"), F.col("total")).otherwise(0)
+    ratio = (F.log((F.col("good_n") - own + smoothing) / (F.lit(all_good) - own_total + rare))
+             - F.log((F.col("raw_n") + smoothing) / F.lit(all_raw + rare))) if all_good else F.lit(0.0)
+    part = F.col("n") * ratio
+    joined = each.join(F.broadcast(counts.filter(common)), "gram", "left")
+    met = F.col("raw_n").isNotNull()
+    # What was found by broadcast needs no gram; its slot is any number, so that such rows spread.
+    parts = joined.select("key", "doc_id", "good", "total", F.when(met, F.col("key")).otherwise(F.col("gram")).alias("slot"),
+                          met.alias("met"), F.when(met, part).otherwise(0.0).alias("part"), "n")
+    parts = parts.groupBy("key", "doc_id", "good", "total", "slot", "met").agg(F.sum("part").alias("part"), F.sum("n").alias("all_n"), F.max("n").alias("n"))
+    rest = counts.filter(~common).select(F.col("gram").alias("slot"), F.lit(False).alias("met"), "raw_n", "good_n")
+    copies = F.col("all_n") / F.col("n")
+    parts = parts.join(rest, ["slot", "met"], "left").withColumn("part", F.when(F.col("met"), F.col("part")).otherwise(part * copies))
+    return parts.groupBy("key", "doc_id", "total").agg(
+        (F.sum("part") / F.sum("all_n")).alias("score"))
+
+
+def calibrated(scores: DataFrame, labels: DataFrame) -> float:
+    """The threshold that tells labelled good documents from bad ones best: most kept good less kept bad, in shares.
+
+    Only documents long enough for the base rules count.  The threshold stands in the middle between
+    the last score kept and the next one below; without bad ones it is the least score of the good.
+    """
+    known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max(F.when(F.col("quality") == 1, F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"),
+        F.max(F.col("quality") == 0).alias("bad"))
+    bins = scores.filter("total >= 99").join(known, "doc_id").groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(
+        F.sum((F.col("good") & ~F.col("bad")).cast("long")).alias("good"), F.sum(F.col("bad").cast("long")).alias("bad")).collect()
+    every = [sum(r[c] or 0 for r in bins) for c in ("good", "bad")]
+    best, at, kept = -1.0, -1e9, [0, 0]
+    bins = sorted(bins, key=lambda r: -r["bin"])
+    for row, below in zip(bins, [*bins[1:], None], strict=True):
+        kept = [kept[0] + (row["good"] or 0), kept[1] + (row["bad"] or 0)]
+        gain = kept[0] / max(1, every[0]) - kept[1] / max(1, every[1])
+        if gain > best or (gain == best and row["good"]):
+            best, at = gain, (row["bin"] if below is None else (row["bin"] + below["bin"] + 1) / 2) * BIN
+    return at
+
+
+def _judged(docs: DataFrame, labels: DataFrame, carried: Column, threshold: float | None, buckets: int | None, trusted: int,
             id_col: str, text_col: str) -> DataFrame:
     """``carried`` and the columns of the verdict; a struct keeps other columns' names apart."""
-    ratios = cut_lineage(log_ratios(docs, labels, buckets, trusted, SMOOTHING, id_col, text_col))
-    rows = docs.select(carried.alias("carried"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-    rows = with_base_columns(scored(rows, ratios, buckets))
+    rows = docs.select(carried.alias("carried"), key_of(id_col, text_col).alias("key"), F.col(text_col).alias("text")).withColumn(
+        "words", words_of(F.col("text")))
+    if buckets is None:
+        scores = cut_lineage(gram_scores(docs, labels, SMOOTHING, id_col=id_col, text_col=text_col))
+        threshold = calibrated(scores, labels) if threshold is None else threshold
+        rows = with_base_columns(rows).join(scores.select("key", "score"), "key", "left").withColumn(
+            "score", F.coalesce("score", F.lit(0.0)))
+    else:
+        ratios = cut_lineage(log_ratios(docs, labels, buckets, trusted, SMOOTHING, id_col, text_col))
+        threshold = THRESHOLD if threshold is None else threshold
+        rows = with_base_columns(scored(rows, ratios, buckets))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int | None = None,
           trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept.
 
@@ -143,7 +244,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
                        "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int | None = None,
               trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose verdict is kept, with their own columns."""
     rows = _judged(docs, labels, F.struct("*"), threshold, buckets, trusted, id_col, text_col)
