@@ -441,9 +441,9 @@ def fit_three_view_converged(spark, sf):
 
 
 def fit_documents(spark, sf):
-    """Words against character grams; wide and sparse, whole texts."""
+    """Words against character grams; wide and sparse, whole texts; runs until it converges."""
     cells, widths = document_cells(spark, sf)
-    return _loadings(estimator(2).fit_cells(cells.persist(), widths=widths))
+    return _loadings(MultiViewCCA(inputCols=["v0", "v1"], rhos=[RHO]).fit_cells(cells.persist(), widths=widths))
 
 
 def model_roundtrip(spark, sf):
