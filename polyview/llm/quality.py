@@ -205,7 +205,7 @@ def calibrated(scores: DataFrame, labels: DataFrame) -> float:
     every = [sum(r[c] or 0 for r in bins) for c in ("good", "bad")]
     best, at, kept = -1.0, -1e9, [0, 0]
     bins = sorted(bins, key=lambda r: -r["bin"])
-    for row, below in zip(bins, [*bins[1:], None], strict=True):
+    for row, below in zip(bins, [*bins[1:], None], strict=False):
         kept = [kept[0] + (row["good"] or 0), kept[1] + (row["bad"] or 0)]
         gain = kept[0] / max(1, every[0]) - kept[1] / max(1, every[1])
         if gain > best or (gain == best and row["good"]):
