@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from polyview.llm.chat import format_conversations, read_back
 from polyview.llm.common import table
 from polyview.llm.licenses import scan_licenses
+from polyview.llm.manifest import manifest
 from polyview.llm.neighbours import nearest
+from polyview.llm.order_minhash import compared
 from polyview.llm.packing import pack_documents
 from polyview.llm.pieces import round_trip
 from polyview.llm.pii import pseudonymise
@@ -18,6 +20,7 @@ from polyview.llm.quality import judge
 from polyview.llm.simhash import near_duplicates
 from polyview.llm.token_counts import token_counts
 from polyview.llm.urls import RULES, filter_urls
+from polyview.llm.whitening import whiten
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -67,7 +70,20 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), RULES)
 
 
+def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return compared(table(spark, folder, "documents"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_license_scan, op3_nearest_vectors, op4_pack_sequences, op5_piece_round_trip,
-    op6_simhash_components, op7_token_counts, op8_chat_format, op9_quality_rules, op10_url_filter)}
+    op6_simhash_components, op7_token_counts, op8_chat_format, op9_quality_rules, op10_url_filter,
+    op11_order_minhash, op12_whitened_embeddings, op13_merkle_manifest)}
 SQL: dict[str, str] = {}
