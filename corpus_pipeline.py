@@ -11,7 +11,7 @@ from polyview.llm.packing import pack_documents
 from polyview.llm.pii import pseudonymise_column
 from polyview.llm.quality import keep_good
 from polyview.llm.queries import WORDS
-from polyview.llm.similar import keep_one_of_similar
+from polyview.llm.simhash import keep_one_of_each
 from polyview.session import ensure_checkpoint_dir
 
 
@@ -21,8 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id; the columns stay."""
-    return keep_one_of_similar(docs)
+    """One document of each group of near-duplicates: that with the smallest id; the columns stay.
+
+    Three-word shingles and at most two differing bits, as in the registered query.
+    """
+    return keep_one_of_each(docs, width=3, radius=2)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
