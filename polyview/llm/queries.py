@@ -19,6 +19,7 @@ from polyview.llm.pii import pseudonymise
 from polyview.llm.quality import judge
 from polyview.llm.simhash import near_duplicates
 from polyview.llm.token_counts import token_counts
+from polyview.llm.sql import MANIFEST
 from polyview.llm.urls import RULES, filter_urls
 from polyview.llm.whitening import whiten
 
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_pii_pseudonyms, op2_license_scan, op3_nearest_vectors, op4_pack_sequences, op5_piece_round_trip,
     op6_simhash_components, op7_token_counts, op8_chat_format, op9_quality_rules, op10_url_filter,
     op11_order_minhash, op12_whitened_embeddings, op13_merkle_manifest)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_merkle_manifest": MANIFEST}
