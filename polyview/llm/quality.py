@@ -1,27 +1,35 @@
 """Quality by likeness to trusted text, with DataFrame functions only.
 
-Words and word pairs are counted by their 64-bit hashes, in a table that grows with
-the distinct ones.  Two multinomials are counted: over trusted documents and over
-all documents.  A document's score is its mean log-likelihood ratio per gram, its
-own counts left out of the target; it stays if the score reaches a threshold that
-is calibrated on the labels and it breaks none of the base rules.  A caller that
-names a number of buckets gets a table of that size with a fixed threshold instead.
+Words and word pairs are hashed into a table that grows with the number of documents.
+Two multinomials are counted over it: of trusted documents and of all.  A document's
+score is its mean log-likelihood ratio per gram.  Trusted counts are kept apart for
+two halves of the texts, split by the text's hash; a text is judged by the counts of
+the half that it is not in, so its own words don't speak for it.  A document stays if
+its score reaches a threshold that is calibrated on the labels and it breaks none of
+the base rules.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.session import BROADCAST_ROWS, cut_lineage
+from polyview.session import cut_lineage, lookup, scan_tasks
 
-# Trusted documents used for the target counts; their ids are broadcast (8 bytes each).
-TRUSTED = 20_000
-SMOOTHING = 1.0
-# The threshold where a number of buckets is named.
-THRESHOLD = -0.05
+# The table has the next power of two above this times the fourth root of the documents' number.
+TABLE = 1 << 13
+# Added to each bucket's raw count; the trusted counts get as much of their own smaller total.
+SMOOTHING = 10.0
+# At most this share of the good labelled documents may be lost to the threshold.
+LOST = 0.02
 # Scores are binned to so much for the calibration.
 BIN = 1e-3
+# Log ratios are whole multiples of its inverse, so that sums are exact in any order.
+UNIT = 1 << 24
+# Rows of equal ids and texts share a score.
+KEY = ["none", "id", "print"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -77,177 +85,136 @@ def with_base_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_ranked")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most ``most`` ids labelled good and not toxic, chosen by hash of the id."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-                         & F.col("doc_id").isNotNull())
-    return good.select(F.col("doc_id").cast("long").alias("trusted_id")).distinct().orderBy(
-        F.xxhash64("trusted_id"), "trusted_id").limit(most)
+def known_ids(labels: DataFrame) -> tuple[DataFrame, int]:
+    """known_id, good, bad of every labelled id, and their number; good: quality 1 and not toxic, bad: quality 0 or toxic."""
+    quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
+    known = cut_lineage(labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(
+        F.coalesce(F.min((quality == 1) & (toxic == 0)), F.lit(False)).alias("good"),
+        F.coalesce(F.max((quality == 0) | (toxic == 1)), F.lit(False)).alias("bad")))
+    return known, known.count()
+
+
+def table_size(rows: int) -> int:
+    return 1 << math.ceil(math.log2(TABLE * max(1, rows) ** 0.25))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """none (no id), id, print (of the text), text and the carried columns."""
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text).alias("print"),
+                       text.alias("text"), *carried)
+
+
+def grams(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
+    """The columns and bucket, a row for each gram; half is that of the text.  Rows without words have a null bucket."""
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("half", F.pmod("print", F.lit(2)).cast("int"))
+    # explode() would add a filter on the array's size, and with it a second computation of the array.
+    return rows.select(*columns, "half", F.explode_outer(buckets_of(F.col("words"), buckets)).alias("bucket"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int = TRUSTED,
-               smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, ratio: log of the trusted over the raw probability, for all buckets.
+def ratio_table(rows: DataFrame, known: DataFrame, n_known: int, buckets: int, smoothing: float = SMOOTHING) -> DataFrame | None:
+    """bucket, ratio0, ratio1: log ratios for texts of either half, in whole units, for all buckets that occur.
 
-    The raw counts are those of all documents.  Without trusted documents all ratios are 0.
+    The raw counts are those of all documents, the trusted ones those of the good documents of the
+    other half.  None without good documents in both halves.
     """
-    ids = F.broadcast(trusted_ids(labels, trusted))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    rows = rows.select("doc_id", buckets_of(F.col("words"), buckets).alias("grams"))
-    rows = rows.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    # explode() would add a filter on the array's size, and with it a second, uncached, computation of the array.
-    counts = (rows.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode_outer("grams").alias("bucket"))
-              .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-              .filter(F.col("bucket").isNotNull()))
-    counts = cut_lineage(counts)
-    spark = docs.sparkSession
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select(
-        "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
-    totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
-    if not totals["good"]:
-        return every.select("bucket", F.lit(0.0).alias("ratio"))
-    above = smoothing * buckets
-    return every.select("bucket", (
-        F.log((F.col("good") + smoothing) / F.lit(totals["good"] + above))
-        - F.log((F.col("raw") + smoothing) / F.lit(totals["raw"] + above))).alias("ratio"))
-
-
-def scored(rows: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
-    """Adds score, the mean log ratio per gram of the column words; 0 without grams.
-
-    The table becomes one array of fixed size, which a scalar subquery reads once.
+    good = known.filter("good").select("known_id")
+    marked = rows.join(lookup(good, n_known), (F.col("id") == F.col("known_id")) & ~F.col("none"), "left").withColumn(
+        "good", F.col("known_id").isNotNull())
+    # Few tasks sum up much each, so that their partial sums are small next to their input.
+    each = scan_tasks(grams(marked, buckets, "good"))
+    good_of = [F.sum((F.col("good") & (F.col("half") == h)).cast("long")) for h in (0, 1)]
+    counts = cut_lineage(each.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("raw"), good_of[0].alias("good0"), good_of[1].alias("good1")).filter("bucket IS NOT NULL"))
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("raw", "good0", "good1")]).first()
+    if not total["good0"] or not total["good1"]:
+        return None
+
+    def ratio(name):
+        value = F.log((F.col(name) * F.lit(total["raw"] / total[name]) + smoothing) / (F.col("raw") + smoothing))
+        return F.round(value * UNIT).cast("long")
+
+    return counts.select("bucket", ratio("good1").alias("ratio0"), ratio("good0").alias("ratio1"))
+
+
+def scores_of(rows: DataFrame, table: DataFrame | None, buckets: int) -> DataFrame:
+    """none, id, print, n_grams, score (the mean log ratio per gram) of every distinct id and text that has words.
+
+    The table has a row for each of the buckets, whose number is known, so it is broadcast; what is
+    summed up travels as one row per text.
     """
-    table = ratios.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"]).alias("t"))
-    total = F.aggregate(buckets_of(F.col("words"), buckets), F.lit(0.0), lambda s, b: s + F.get(F.col("ratio_table"), b))
-    grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
-    return rows.withColumn("ratio_table", table.scalar()).withColumn("score", total / grams).drop("ratio_table")
-
-
-def counted_grams(words: DataFrame) -> DataFrame:
-    """key, doc_id, good, total, gram, n: how often each gram stands in each row of words.  Rows without words are left out."""
-    hashes = F.concat(
-        F.transform("words", lambda w: F.xxhash64(w)),
-        F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
-                    lambda w, i: F.xxhash64(w, F.get("words", i + 1))))
-    rows = words.select("key", "doc_id", "good", (2 * F.size("words") - 1).cast("long").alias("total"),
-                        F.sort_array(hashes).alias("_all"))
-    starts = F.filter(F.transform("_all", lambda h, i: F.when((i == 0) | (F.get("_all", i - 1) != h), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_starts", starts)
-    items = F.transform("_starts", lambda s, i: F.struct(
-        F.get("_all", s).alias("gram"),
-        (F.coalesce(F.get("_starts", i + 1), F.size("_all")) - s).cast("long").alias("n")))
-    rows = rows.select("key", "doc_id", "good", "total", items.alias("_items"))
-    rows = rows.select("key", "doc_id", "good", "total", F.explode_outer("_items").alias("item"))
-    return rows.select("key", "doc_id", "good", "total", "item.gram", "item.n").filter("gram IS NOT NULL")
-
-
-def key_of(id_col: str, text_col: str) -> Column:
-    """Rows of equal ids and texts share a score."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit("")))
-
-
-def gram_scores(docs: DataFrame, labels: DataFrame, smoothing: float = SMOOTHING, head: int = BROADCAST_ROWS // 2,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, total (grams), score of every distinct id and text with words, over the counts of all grams.
-
-    The commonest grams, ``head`` at most, are looked up by broadcast; they are added up where
-    their row stands, so only the others travel, to their counts.
+    each = grams(rows, buckets, *KEY)
+    if table is None:
+        ratio = F.lit(0).cast("long")
+    else:
+        each = each.join(F.broadcast(table), "bucket", "left")
+        ratio = F.when(F.col("half") == 0, F.col("ratio0")).otherwise(F.col("ratio1"))
+    # Of equal rows, each adds the same to both sums.
+    return each.groupBy(*KEY).agg(F.count("bucket").alias("n_grams"), F.sum(ratio).alias("total")).filter("n_grams > 0").select(
+        *KEY, "n_grams", (F.col("total") / F.col("n_grams") / F.lit(UNIT)).alias("score"))
+
+
+def threshold_of(bins: list[tuple[float, int, int]], lost: float = LOST, width: float = BIN) -> float | None:
+    """The score that tells good from bad best: most bad rejected less good rejected, in shares, with at most ``lost`` of the good.
+
+    bins: (number, good, bad); a bin holds scores from number x width on.  The threshold is the lower edge of a
+    bin, the lowest of equal ones.  Without good ones there is none.
     """
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(
-        F.col("doc_id").cast("long").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
-    marked = docs.select(key_of(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
-                         words_of(F.col(text_col)).alias("words"))
-    marked = marked.join(good, F.col("doc_id") == F.col("trusted_id"), "left").withColumn(
-        "good", F.col("trusted_id").isNotNull())
-    each = counted_grams(marked)
-    counts = cut_lineage(each.groupBy("gram").agg(
-        F.sum("n").alias("raw_n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good_n")))
-    sizes = counts.groupBy(F.floor(F.log2("raw_n")).cast("int").alias("size")).agg(
-        F.count(F.lit(1)).alias("grams"), F.sum("raw_n").alias("raw_n"), F.sum("good_n").alias("good_n")).collect()
-    distinct, all_raw, all_good = (sum(r[c] for r in sizes) for c in ("grams", "raw_n", "good_n"))
-    least, held = 63, 0
-    for row in sorted(sizes, key=lambda r: -r["size"]):
-        if (held := held + row["grams"]) > head:
+    goods, bads = (sum(b[c] for b in bins) for c in (1, 2))
+    if not goods:
+        return None
+    best, at, good, bad = -1.0, None, 0, 0
+    for number, here_good, here_bad in sorted(bins):
+        if good > lost * goods:
             break
-        least = row["size"]
-    common, rare = F.col("raw_n") >= F.lit(1 << least if least < 63 else (1 << 63) - 1), smoothing * distinct
-    # Equal rows would count twice in a sum by key; each one of them has its own part of it.
-    own = F.when(F.col("good"), F.col("n")).otherwise(0)
-    own_total = F.when(F.col("good"), F.col("total")).otherwise(0)
-    ratio = (F.log((F.col("good_n") - own + smoothing) / (F.lit(all_good) - own_total + rare))
-             - F.log((F.col("raw_n") + smoothing) / F.lit(all_raw + rare))) if all_good else F.lit(0.0)
-    part = F.col("n") * ratio
-    joined = each.join(F.broadcast(counts.filter(common)), "gram", "left")
-    met = F.col("raw_n").isNotNull()
-    # What was found by broadcast needs no gram; its slot is any number, so that such rows spread.
-    parts = joined.select("key", "doc_id", "good", "total", F.when(met, F.col("key")).otherwise(F.col("gram")).alias("slot"),
-                          met.alias("met"), F.when(met, part).otherwise(0.0).alias("part"), "n")
-    parts = parts.groupBy("key", "doc_id", "good", "total", "slot", "met").agg(F.sum("part").alias("part"), F.sum("n").alias("all_n"), F.max("n").alias("n"))
-    rest = counts.filter(~common).select(F.col("gram").alias("slot"), F.lit(False).alias("met"), "raw_n", "good_n")
-    copies = F.col("all_n") / F.col("n")
-    parts = parts.join(rest, ["slot", "met"], "left").withColumn("part", F.when(F.col("met"), F.col("part")).otherwise(part * copies))
-    return parts.groupBy("key", "doc_id", "total").agg(
-        (F.sum("part") / F.sum("all_n")).alias("score"))
-
-
-def calibrated(scores: DataFrame, labels: DataFrame) -> float:
-    """The threshold that tells labelled good documents from bad ones best: most kept good less kept bad, in shares.
-
-    Only documents long enough for the base rules count.  The threshold stands in the middle between
-    the last score kept and the next one below; without bad ones it is the least score of the good.
-    """
-    known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(F.when(F.col("quality") == 1, F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"),
-        F.max(F.col("quality") == 0).alias("bad"))
-    bins = scores.filter("total >= 99").join(known, "doc_id").groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(
+        gain = bad / max(1, bads) - good / goods
+        if gain > best:
+            best, at = gain, number
+        good, bad = good + here_good, bad + here_bad
+    return at * width
+
+
+def calibrated(scores: DataFrame, known: DataFrame, n_known: int) -> float | None:
+    """The threshold for the labelled documents that are long enough for the base rules."""
+    labelled = scores.filter("NOT none AND n_grams >= 99").join(
+        lookup(known.filter("good OR bad"), n_known), F.col("id") == F.col("known_id"))
+    found = labelled.groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin")).agg(
         F.sum((F.col("good") & ~F.col("bad")).cast("long")).alias("good"), F.sum(F.col("bad").cast("long")).alias("bad")).collect()
-    every = [sum(r[c] or 0 for r in bins) for c in ("good", "bad")]
-    best, at, kept = -1.0, -1e9, [0, 0]
-    bins = sorted(bins, key=lambda r: -r["bin"])
-    for row, below in zip(bins, [*bins[1:], None], strict=False):
-        kept = [kept[0] + (row["good"] or 0), kept[1] + (row["bad"] or 0)]
-        gain = kept[0] / max(1, every[0]) - kept[1] / max(1, every[1])
-        if gain > best or (gain == best and row["good"]):
-            best, at = gain, (row["bin"] if below is None else (row["bin"] + below["bin"] + 1) / 2) * BIN
-    return at
-
-
-def _judged(docs: DataFrame, labels: DataFrame, carried: Column, threshold: float | None, buckets: int | None, trusted: int,
-            id_col: str, text_col: str) -> DataFrame:
-    """``carried`` and the columns of the verdict; a struct keeps other columns' names apart."""
-    rows = docs.select(carried.alias("carried"), key_of(id_col, text_col).alias("key"), F.col(text_col).alias("text")).withColumn(
-        "words", words_of(F.col("text")))
-    if buckets is None:
-        scores = cut_lineage(gram_scores(docs, labels, SMOOTHING, id_col=id_col, text_col=text_col))
-        threshold = calibrated(scores, labels) if threshold is None else threshold
-        rows = with_base_columns(rows).join(scores.select("key", "score"), "key", "left").withColumn(
-            "score", F.coalesce("score", F.lit(0.0)))
-    else:
-        ratios = cut_lineage(log_ratios(docs, labels, buckets, trusted, SMOOTHING, id_col, text_col))
-        threshold = THRESHOLD if threshold is None else threshold
-        rows = with_base_columns(scored(rows, ratios, buckets))
+    return threshold_of([(r["bin"], r["good"], r["bad"]) for r in found])
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, threshold: float | None, id_col: str, text_col: str) -> DataFrame:
+    """none, id, print, the base counts, score, base_failed and kept of every row."""
+    rows = keyed(docs, id_col, text_col)
+    buckets = table_size(docs.count())
+    known, n_known = known_ids(labels)
+    table = ratio_table(rows, known, n_known, buckets)
+    scores = cut_lineage(scores_of(rows, table, buckets))
+    if threshold is None and table is not None:
+        threshold = calibrated(scores, known, n_known)
+    base = with_base_columns(rows.withColumn("words", words_of(F.col("text"))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    good = F.lit(True) if threshold is None else F.col("score") >= threshold
+    return base.join(scores.drop("n_grams"), KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn(
+        "base_failed", failed).withColumn("kept", ~failed & good)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int | None = None,
-          trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept.
 
-    One row per input row.  Null and empty texts have no words and fail the base rules.
-    Without trusted documents all scores are 0 and the base rules decide.
+    One row per input row; rows of equal texts have equal verdicts.  Null and empty texts have no words and
+    fail the base rules.  Labels of the same id count as bad if one of them is.  Without good documents in
+    both halves all scores are 0 and the base rules decide, as they do without any labels.
     """
-    rows = _judged(docs, labels, F.struct(F.col(id_col).cast("long").alias("doc_id")), threshold, buckets, trusted,
-                   id_col, text_col)
-    return rows.select("carried.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
-                       "base_failed", "kept")
+    return verdicts(docs, labels, threshold, id_col, text_col).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "score", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int | None = None,
-              trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose verdict is kept, with their own columns."""
-    rows = _judged(docs, labels, F.struct("*"), threshold, buckets, trusted, id_col, text_col)
-    # The optimiser would push the filter below the projections and repeat their arrays in it, lambdas
-    # included; a column that is not deterministic keeps it above them.
-    return rows.withColumn("part", F.spark_partition_id()).filter("kept and part >= 0").select("carried.*")
+    lost = cut_lineage(verdicts(docs, labels, threshold, id_col, text_col).filter(~F.col("kept")).select(*KEY).distinct())
+    rows = keyed(docs, id_col, text_col, F.struct("*").alias("carried")).drop("text")
+    return rows.join(lookup(lost, lost.count()), KEY, "left_anti").select("carried.*")

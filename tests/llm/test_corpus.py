@@ -222,13 +222,40 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def plain_buckets(words, n):
+def plain_places(words, n):
     first = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
     pairs = [xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
              for a, b in zip(words, words[1:], strict=False)]
     return [signed(h) % n for h in first + pairs]
 
 
+def plain_scores(pairs, good_ids, n):
+    """Per row: the score from the other half's counts."""
+    halves = [signed(xxhash.xxh64_intdigest((t or "").encode(), seed=42)) % 2 for _, t in pairs]
+    raw, target = np.zeros(n), np.zeros((2, n))
+    places = [plain_places(SPLIT(t or ""), n) for _, t in pairs]
+    for (i, _), h, own in zip(pairs, halves, places, strict=True):
+        for p in own:
+            raw[p] += 1
+            target[h, p] += i in good_ids
+    def ratio(h):
+        return np.log((target[h] * raw.sum() / target[h].sum() + quality.SMOOTHING) / (raw + quality.SMOOTHING))
+    ratios = [ratio(1), ratio(0)]
+    return [ratios[h][own].mean() if own else 0.0 for h, own in zip(halves, places, strict=True)]
+
+
+def plain_threshold(scores, lost=0.02):
+    """scores: (score, good, bad) of long labelled rows; every edge is tried."""
+    bins = sorted((math.floor(s / quality.BIN), g, b) for s, g, b in scores)
+    goods, bads = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    best = None
+    for edge in sorted({b[0] for b in bins}):
+        good, bad = sum(b[1] for b in bins if b[0] < edge), sum(b[2] for b in bins if b[0] < edge)
+        if good <= lost * goods and (best is None or bad / max(1, bads) - good / goods > best[0]):
+            best = (bad / max(1, bads) - good / goods, edge)
+    return best[1] * quality.BIN
+
+
 def plain_base(text):
     words = SPLIT(text or "")
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
@@ -240,34 +267,46 @@ def plain_base(text):
 def test_quality(spark, make):
     rng = random.Random(9)
     good, bad = [f"g{i}" for i in range(60)], [f"b{i}###" for i in range(60)]
-    pairs = [(i, "\n".join(" ".join(rng.choice(good if i % 4 else bad) for _ in range(15)) for _ in range(rng.randrange(1, 8))))
-             for i in range(80)]
-    pairs += [(90, None), (91, ""), (92, "a b c " * 30), (93, "x\n\nx\n x\ty\x0bz"), (None, "no id"), (5, pairs[5][1])]
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i == 2)) for i in range(60)] + [(None, 1, 0), (3, 1, None)],
-                                   "doc_id long, quality int, toxic int")
-    trusted = {i for i in range(60) if i % 4 and i != 2} | {3}
-    raw, target, n = np.zeros(64), np.zeros(64), 64
-    for i, text in pairs:
-        for b in plain_buckets(SPLIT(text or ""), n):
-            raw[b] += 1
-            target[b] += i in trusted
-    ratio = np.log((target + 1) / (target.sum() + n)) - np.log((raw + 1) / (raw.sum() + n))
+    pairs = [(i, "\n".join(" ".join(rng.choice(good if i % 4 or rng.random() < 0.5 else bad) for _ in range(15)) for _ in range(rng.randrange(1, 8))))
+             for i in range(160)]
+    pairs += [(190, None), (191, ""), (192, "a b c " * 30), (193, "x\n\nx\n x\ty\x0bz"), (None, "no id"), (5, pairs[5][1])]
+    labelled = [(i, int(i % 4 > 0), int(i % 10 == 2)) for i in range(120)] + [(None, 1, 0), (3, 1, None), (7, 0, 0), (150, None, None)]
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    bad_ids = {i for i, q, t in labelled if q == 0 or t == 1}
+    good_ids = {i for i, q, t in labelled if q == 1 and t != 1} - bad_ids - {None}
+    n = quality.table_size(len(pairs))
+    scores = plain_scores(pairs, good_ids, n)
+    threshold = plain_threshold([(s, i in good_ids, i in bad_ids) for (i, t), s in zip(pairs, scores, strict=True)
+                                 if i in good_ids | bad_ids and len(SPLIT(t or "")) >= 50])
     want = []
-    for i, text in pairs:
-        base, words = plain_base(text), SPLIT(text or "")
-        score = ratio[plain_buckets(words, n)].sum() / max(1, 2 * len(words) - 1) if words else 0.0
+    for (i, text), score in zip(pairs, scores, strict=True):
+        base = plain_base(text)
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-        want.append((str(i), *base, failed, not failed and score >= quality.THRESHOLD, round(score, 9)))
+        want.append((str(i), *base, failed, not failed and score >= threshold, round(score, 9)))
     docs = make(pairs)
     got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept,
-                  round(r.score, 9)) for r in judge(docs, labels, buckets=n).collect())
+                  round(r.score, 9)) for r in judge(docs, labels).collect())
     assert [g[:-1] for g in got] == [w[:-1] for w in sorted(want)]
-    assert np.allclose([g[-1] for g in got], [w[-1] for w in sorted(want)], atol=1e-8)
-    kept = quality.keep_good(docs.withColumnRenamed("lang", "kept"), labels, buckets=n)
+    assert np.allclose([g[-1] for g in got], [w[-1] for w in sorted(want)], atol=1e-6)
+    assert any(not w[6] and not w[7] for w in want) and any(w[7] for w in want)
+    kept = quality.keep_good(docs.withColumnRenamed("lang", "kept"), labels)
     assert kept.columns == ["doc_id", "text", "kept", "source", "n_chars"]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == [w[0] for w in sorted(want) if w[7]]
-    assert not judge(docs.limit(0), labels).collect()
-    assert all(r.score == 0 for r in judge(docs, labels.limit(0), buckets=n).collect())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if w[7])
+    assert not judge(docs.limit(0), labels).collect() and not quality.keep_good(docs.limit(0), labels).collect()
+    rows = judge(docs, labels.limit(0)).collect()
+    assert all(r.score == 0 and r.kept != r.base_failed for r in rows) and len(rows) == len(pairs)
+    # Labels by shuffle, as where there are too many to broadcast.
+    known, _ = quality.known_ids(labels)
+    keyed = quality.keyed(docs, "doc_id", "text")
+    tables = [sorted(map(tuple, quality.ratio_table(keyed, known, count, n).collect())) for count in (None, 10)]
+    assert tables[0] == tables[1] and len(tables[0]) > 100
+
+
+def test_quality_threshold():
+    assert quality.threshold_of([]) is None and quality.threshold_of([(3, 0, 5)]) is None
+    assert quality.threshold_of([(-5, 4, 0), (2, 1, 0)], width=1.0) == -5
+    bins = [(0, 0, 8), (1, 2, 8), (2, 3, 4), (3, 95, 0)]
+    assert quality.threshold_of(bins, 0.02, 1.0) == 2 and quality.threshold_of(bins, 0.05, 1.0) == 3
 
 
 # URLs
