@@ -1,4 +1,4 @@
-"""What the three fitting plans share: options, the stop rule and the result."""
+"""What the three fitting plans share: options, the course of an iteration and the result."""
 
 from __future__ import annotations
 
@@ -36,27 +36,38 @@ class FitResult:
     sigma: list[tuple[int, int, int, float]]
     score_means: list[tuple[int, int, float]]
     widths: list[int]
-    steps: dict = field(default_factory=dict)
+    # By (component, view, other view).
+    progress: dict[tuple[int, int, int], Progress] = field(default_factory=dict)
 
 
-# The reasons for which an iteration ends.
-GO, ZERO, CONVERGED, CAPPED = 0, -1, 1, 2
+class Progress:
+    """One iteration's course: fed the loss of every step, it knows when to end and why.
 
-
-def stop_state(losses: Sequence[float], counter: int, max_iter: int, tol: float) -> int:
-    """Whether to stop before the next step; ``counter`` starts at 1.
-
-    Two steps always run.  After that: a zero loss, then a relative change
-    within ``tol``, then the cap.
+    ``reason`` stays None while steps are to follow.  From the second step on it becomes
+    "zero" at a loss of 0, "converged" when the loss moved by no more than ``tol`` of the one
+    before, or "limit" when one step less than ``max_iter`` was taken.
     """
-    if counter <= 2:
-        return GO
-    last, before = losses[counter - 2], losses[counter - 3]
-    if last == 0:
-        return ZERO
-    if before != 0 and abs(last - before) <= tol * abs(before):
-        return CONVERGED
-    return CAPPED if counter == max_iter else GO
+
+    def __init__(self, options: FitOptions):
+        self.options = options
+        self.losses: list[float] = []
+        self.reason: str | None = None
+
+    @property
+    def steps(self) -> int:
+        return len(self.losses)
+
+    def step(self, loss: float) -> None:
+        self.losses.append(loss)
+        if self.steps < 2:
+            return
+        before = self.losses[-2]
+        if loss == 0:
+            self.reason = "zero"
+        elif before and abs(loss - before) <= self.options.tol * abs(before):
+            self.reason = "converged"
+        elif self.steps + 1 == self.options.max_iter:
+            self.reason = "limit"
 
 
 def others(i: int, d: int) -> list[int]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.common import (
-    GO, LOADINGS, FitOptions, FitResult, add_partials, deflated_by, others, stop_state, symmetric, warn_zero,
+    LOADINGS, FitOptions, FitResult, Progress, add_partials, deflated_by, others, symmetric, warn_zero,
 )
 from polyview.session import scan_tasks
 
@@ -103,17 +103,16 @@ def power_pair(a: np.ndarray, rho: float, opts: FitOptions):
     if top == 0:
         return None
     x, r = a[best] / top, rho * top
-    losses, counter = [], 1
-    while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
+    course = Progress(opts)
+    while not course.reason:
         z = _soft(a @ x, r)
-        losses.append(float(z @ z))
         x = _unit(a.T @ z)
-        counter += 1
-    return a @ x, r, counter - 1
+        course.step(float(z @ z))
+    return a @ x, r, course
 
 
 def solve(cov: dict, widths: list[int], opts: FitOptions):
-    """All components from the cross-covariances: loadings, sigma, step counts."""
+    """All components from the cross-covariances: loadings, sigma, the courses of the power iterations."""
     d = len(widths)
 
     def c(i, j):
@@ -122,7 +121,7 @@ def solve(cov: dict, widths: list[int], opts: FitOptions):
     deflated = {(i, j): c(i, j).copy() for i in range(d) for j in range(i + 1, d)}
     loadings: list[list[np.ndarray]] = []
     sigmas: list[dict] = []
-    steps = {}
+    courses = {}
     for k in range(opts.k):
         start, supports = [], []
         for i in range(d):
@@ -140,7 +139,7 @@ def solve(cov: dict, widths: list[int], opts: FitOptions):
                     continue
                 total += found[0]
                 bound = max(bound, found[1])
-                steps[k, i, j] = found[2]
+                courses[k, i, j] = found[2]
             z = _unit(_soft(total, bound))
             start.append(z)
             supports.append(np.flatnonzero(z))
@@ -160,14 +159,13 @@ def solve(cov: dict, widths: list[int], opts: FitOptions):
             z = np.zeros(widths[i])
             if supports[i].size:
                 blocks = {j: reduced(i, j) for j in others(i, d) if supports[j].size}
-                zi, losses, counter = start[i][supports[i]], [], 1
-                while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
+                zi, course = start[i][supports[i]], Progress(opts)
+                while not course.reason:
                     t = np.zeros(len(zi))
                     for j, b in blocks.items():
                         t += b @ final[j][supports[j]] if j < i else b @ (b.T @ zi)
-                    losses.append(-2.0 * float(np.linalg.norm(t)))
                     zi = _unit(t)
-                    counter += 1
+                    course.step(-2.0 * float(np.linalg.norm(t)))
                 z[supports[i]] = zi
             final.append(z)
 
@@ -181,12 +179,12 @@ def solve(cov: dict, widths: list[int], opts: FitOptions):
                 deflated[j, i] -= value * np.outer(final[j], final[i])
         loadings.append(final)
         sigmas.append(sigma)
-    return loadings, sigmas, steps
+    return loadings, sigmas, courses
 
 
 def fit(rows: DataFrame, views: list[Column], widths: list[int], opts: FitOptions) -> FitResult:
     cov, means, _ = cross_covariances(rows, views, widths, opts.centered)
-    loadings, sigmas, steps = solve(cov, widths, opts)
+    loadings, sigmas, courses = solve(cov, widths, opts)
     starts = np.concatenate([[0], np.cumsum(widths)])
     table, score_means, sigma = [], [], []
     for k, (zs, s) in enumerate(zip(loadings, sigmas)):
@@ -195,5 +193,5 @@ def fit(rows: DataFrame, views: list[Column], widths: list[int], opts: FitOption
             table += [(k, i, int(f), float(z[f])) for f in np.flatnonzero(z)]
             score_means.append((k, i, float(means[starts[i]:starts[i + 1]] @ z)))
     return FitResult(
-        rows.sparkSession.createDataFrame(table, LOADINGS), sigma, score_means, list(widths), steps
+        rows.sparkSession.createDataFrame(table, LOADINGS), sigma, score_means, list(widths), courses
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.common import (
-    GO, LOADINGS, FitOptions, FitResult, add_partials, deflated_by, others, stop_state, symmetric, warn_zero,
+    LOADINGS, FitOptions, FitResult, Progress, add_partials, deflated_by, others, symmetric, warn_zero,
 )
 from polyview.session import BROADCAST_ROWS, cut_lineage, lookup, scan_tasks
 from polyview.sources.views import feature_vectors
@@ -210,7 +210,7 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
     spark = views[0].base.sparkSession
     sc = spark.sparkContext
     sigmas: list[dict] = []
-    steps: dict = {}
+    courses: dict = {}
     full: dict[int, np.ndarray] = {}
     # Per view: score vectors of the finished loadings and their inner products.
     scored = [np.zeros((0, n)) for _ in views]
@@ -259,8 +259,8 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
                             "sigma": sigma_row(i, j, comps)}
             pairs = _power_pairs(views[i], state, best_columns(i, state, k) if state else {},
                                  opts.rhos[i], k, opts)
-            for j, (_, _, _, count) in pairs.items():
-                steps[k, i, j] = count
+            for j, (_, _, _, course) in pairs.items():
+                courses[k, i, j] = course
             starts.append(None)
             restricted.append(None)
             if not pairs:
@@ -306,7 +306,7 @@ def solve(views: list[_View], n: int, opts: FitOptions) -> tuple[list, list, dic
             saved.append((k, i, loading))
             views[i].add(loading.select("feature_id", "value"), starts[i][1])
         sigmas.append(lower)
-    return saved, sigmas, steps
+    return saved, sigmas, courses
 
 
 def _power_pairs(view, state, tops, rho, k, opts):
@@ -321,15 +321,8 @@ def _power_pairs(view, state, tops, rho, k, opts):
         w = s["sigma"] * np.array(row["extra"][:k])
         y, a, norm = _advance(s, u, w)
         if norm > 0:
-            run[j] = {"y": y / norm, "a": a / norm, "r": rho * norm, "loss": [], "n": 1}
+            run[j] = {"y": y / norm, "a": a / norm, "r": rho * norm, "course": Progress(opts)}
     while run:
-        for j in list(run):
-            p = run[j]
-            if stop_state(p["loss"], p["n"], opts.max_iter, opts.tol) != GO:
-                done[j] = (p["y"], p["a"], p["r"], p["n"] - 1)
-                del run[j]
-        if not run:
-            break
         shared = sc.broadcast({j: (p["y"], p["a"], p["r"]) for j, p in run.items()})
         partials = scan_tasks(view.features).mapInArrow(
             _step_pass(view.centered, shared, k), "other int, sums array<double>")
@@ -337,11 +330,14 @@ def _power_pairs(view, state, tops, rho, k, opts):
         shared.unpersist()
         for (j,), sums in found.items():
             p, s = run[j], state[j]
-            p["loss"].append(float(sums[-1]))
             u, w = sums[:view.n], s["sigma"] * sums[view.n:-1]
             y, a, norm = _advance(s, u, w)
             norm = norm if norm > 0 else 1.0
-            p["y"], p["a"], p["n"] = y / norm, a / norm, p["n"] + 1
+            p["y"], p["a"] = y / norm, a / norm
+            p["course"].step(float(sums[-1]))
+            if p["course"].reason:
+                done[j] = (p["y"], p["a"], p["r"], p["course"])
+                del run[j]
     return done
 
 
@@ -372,8 +368,8 @@ def _refit(restricted, sigma_row, removed, n, k, opts):
             continue
         u_i, m_i = mine["u"][removed], mine["m"][:, removed]
         g, e = mine["start"], mine["overlap"]
-        losses, counter = [], 1
-        while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
+        course = Progress(opts)
+        while not course.reason:
             y, c = np.zeros(n), np.zeros(len(removed))
             for j in others(i, d):
                 his = restricted[j]
@@ -391,11 +387,10 @@ def _refit(restricted, sigma_row, removed, n, k, opts):
             gy = mine["g"] @ y
             square = y @ gy + 2.0 * (c @ (u_i @ y)) + c @ m_i[removed] @ c
             norm = float(np.sqrt(max(square, 0.0)))
-            losses.append(-2.0 * norm)
             scale = 1.0 / norm if norm > 0 else 1.0
             g, e = (gy + c @ u_i) * scale, (mine["u"] @ y + m_i @ c) * scale
             outs[i] = (y, c, scale)
-            counter += 1
+            course.step(-2.0 * norm)
         scores[i], overlaps[i] = g, e
     return scores, overlaps, outs
 
@@ -411,7 +406,7 @@ def fit(vectors: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitR
     views = []
     try:
         views += [_View(vectors, i, n, opts.centered) for i in range(len(widths))]
-        saved, sigmas, steps = solve(views, n, opts)
+        saved, sigmas, courses = solve(views, n, opts)
         spark = vectors.sparkSession
         loadings = spark.createDataFrame([], LOADINGS)
         for k, i, z in saved:
@@ -427,4 +422,4 @@ def fit(vectors: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitR
             view.features.unpersist()
         vectors.unpersist()
     sigma = [row for k, s in enumerate(sigmas) for row in symmetric(k, len(widths), s)]
-    return FitResult(loadings, sigma, means, list(widths), steps)
+    return FitResult(loadings, sigma, means, list(widths), courses)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions.scalar import soft_threshold
 from polyview.plans.common import (
-    GO, LOADINGS, FitOptions, FitResult, deflated_by, others, stop_state, symmetric, warn_zero,
+    LOADINGS, FitOptions, FitResult, Progress, deflated_by, others, symmetric, warn_zero,
 )
 from polyview.session import BROADCAST_ROWS, cut_lineage, lookup
 
@@ -424,23 +424,22 @@ def _power_pair(left: Side, right: Side, sigma: np.ndarray, rho: float, opts: Fi
     top, _, column, _ = found
     x, facts, _ = _unit(column, left)
     bound = rho * top
-    losses, counter = [], 1
-    while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
+    course = Progress(opts)
+    while not course.reason:
         raw = times(left, right, x, facts, sigma)
         z = cut_lineage(
             raw.withColumn("value", soft_threshold(F.col("value"), bound)).filter(F.col("value") != 0))
         z_facts = right.scalars(z)
-        losses.append(z_facts[0])
         x, facts, _ = _unit(cut_lineage(times(right, left, z, z_facts, sigma)), left)
-        counter += 1
-    return cut_lineage(times(left, right, x, facts, sigma)), bound, counter - 1
+        course.step(z_facts[0])
+    return cut_lineage(times(left, right, x, facts, sigma)), bound, course
 
 
 def solve(matrices: list[Matrix], opts: FitOptions):
     d = len(matrices)
     priors: list[list[tuple[DataFrame, int]]] = [[] for _ in range(d)]
     sigmas: list[dict] = []
-    steps: dict = {}
+    courses: dict = {}
     saved = []
     spark = matrices[0].columns.sparkSession
     empty = spark.createDataFrame([], "feature_id bigint, value double")
@@ -466,7 +465,7 @@ def solve(matrices: list[Matrix], opts: FitOptions):
                     continue
                 terms = pair[0] if terms is None else terms.unionByName(pair[0])
                 bound = max(bound, pair[1])
-                steps[k, i, j] = pair[2]
+                courses[k, i, j] = pair[2]
             if terms is None:
                 continue
             total = terms.groupBy("feature_id").agg(F.sum("value").alias("value"))
@@ -499,8 +498,8 @@ def solve(matrices: list[Matrix], opts: FitOptions):
             if fixed is not None:
                 fixed = cut_lineage(fixed.groupBy("feature_id").agg(F.sum("value").alias("value")))
             z, facts = starts[i]
-            losses, counter = [], 1
-            while stop_state(losses, counter, opts.max_iter, opts.tol) == GO:
+            course = Progress(opts)
+            while not course.reason:
                 t = fixed
                 for j in range(i + 1, d):
                     if small[j] is None:
@@ -510,8 +509,7 @@ def solve(matrices: list[Matrix], opts: FitOptions):
                     t = part if t is None else t.unionByName(part)
                 t = empty if t is None else t.groupBy("feature_id").agg(F.sum("value").alias("value"))
                 z, facts, norm = _unit(cut_lineage(t), me)
-                losses.append(-2.0 * norm)
-                counter += 1
+                course.step(-2.0 * norm)
             final[i] = (z, facts)
 
         lower = {}
@@ -535,7 +533,7 @@ def solve(matrices: list[Matrix], opts: FitOptions):
             z = final[i][0].filter(F.col("value") != 0)
             saved.append((k, i, z, final[i][1][1]))
             priors[i].append((z, final[i][1][3]))
-    return saved, sigmas, steps
+    return saved, sigmas, courses
 
 
 def fit(cells: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitResult:
@@ -549,7 +547,7 @@ def fit(cells: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitRes
             one = cells.filter((F.col("view_idx") == i) & (F.col("value") != 0)).select(
                 "row_id", "feature_id", "value")
             matrices.append(Matrix(one, n, w, opts.centered, parts, counts.get(i, 0)))
-        saved, sigmas, steps = solve(matrices, opts)
+        saved, sigmas, courses = solve(matrices, opts)
     finally:
         for m in matrices:
             m.release()
@@ -559,4 +557,4 @@ def fit(cells: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitRes
             z.select(F.lit(k).alias("component"), F.lit(i).alias("view_idx"), "feature_id",
                      F.col("value").alias("loading")))
     sigma = [row for k, s in enumerate(sigmas) for row in symmetric(k, len(widths), s)]
-    return FitResult(loadings, sigma, [(k, i, m) for k, i, _, m in saved], list(widths), steps)
+    return FitResult(loadings, sigma, [(k, i, m) for k, i, _, m in saved], list(widths), courses)

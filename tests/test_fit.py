@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import direct
 from polyview import MultiViewCCA
 from polyview.plans import gram, sparse
-from polyview.plans.common import CAPPED, CONVERGED, GO, ZERO, FitOptions, stop_state
+from polyview.plans.common import FitOptions, Progress
 from polyview.plans.covariance import power_pair
 from polyview.sources import cells_from_arrays, read_matrix_text
 
@@ -156,12 +156,16 @@ def test_golden_three_views(spark, plan):
         assert np.abs(z[0] - want).max() < 1e-8
 
 
-def test_stop_rule():
-    assert stop_state([1.0], 2, 2, 1.0) == GO
-    assert stop_state([1.0, 0.0], 3, 10, 1e-4) == ZERO
-    assert stop_state([1.0, 1.00001], 3, 10, 1e-4) == CONVERGED
-    assert stop_state([1.0, 2.0], 3, 3, 1e-4) == CAPPED
-    assert stop_state([1.0, 2.0], 3, 4, 1e-4) == GO
+@pytest.mark.parametrize("losses, limit, reason", [
+    ([1.0], 2, None), ([0.0], 9, None), ([1.0, 0.0], 9, "zero"), ([1.0, 1.00001], 9, "converged"), ([1.0, 2.0], 3, "limit"),
+    ([1.0, 2.0], 4, None), ([1.0, 2.0], 2, None), ([0.0, 2.0], 9, None), ([float("nan")] * 4, 5, "limit"), ([-1.0, -1.0], 9, "converged"),
+])
+def test_course_of_losses(losses, limit, reason):
+    course = Progress(FitOptions(max_iter=limit, tol=1e-4))
+    for loss in losses:
+        assert course.reason is None
+        course.step(loss)
+    assert course.reason == reason and course.steps == len(losses)
 
 
 @pytest.mark.parametrize("plan", ["covariance", "gram"])
