@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -19,8 +17,8 @@ from pyspark.ml.util import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.functions.scalar import array_literal, sparse_dot
-from polyview.operators import scoring
+from polyview.functions.scalar import safe_corr
+from polyview.operators import scoring, wide
 from polyview.plans import covariance, gram, sparse
 from polyview.plans.common import MEANS, SIGMA, FitOptions, FitResult, log
 
@@ -28,12 +26,6 @@ from polyview.sources.views import (
     _scatter, cells_from_arrays, checked_cells, checked_subjects, dense_index, feature_vectors_from_arrays,
 )
 
-# Up to this many non-zero loadings are written into the plan as constants.
-INLINE_LOADINGS = 10_000
-# Beyond that, arrays are scored with broadcast weights, up to this many numbers.
-INLINE_WEIGHTS = 1 << 25
-
-
 def view_column(df: DataFrame, name: str) -> Column:
     """An input column as an array; ML vectors are converted."""
     if isinstance(df.schema[name].dataType, VectorUDT):
@@ -41,10 +33,11 @@ def view_column(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def whole_array(array: Column) -> Column:
-    """The array; a null array, or one with a null entry, fails the query on every path of scoring."""
-    return F.when(array.isNull() | F.exists(array, lambda x: x.isNull()), F.raise_error(
-        F.lit("null array or entry in a view"))).otherwise(array)
+def whole_array(array: Column, width: int) -> Column:
+    """The array; a null array, a null entry or another number of entries fails the query."""
+    bad = array.isNull() | F.exists(array, lambda x: x.isNull()) | (F.size(array) != width)
+    return F.when(bad, F.raise_error(F.lit(f"null array or entry in a view, or not {width} entries"))).otherwise(
+        array.cast("array<double>"))
 
 
 def _pack_rows(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[int]) -> DataFrame:
@@ -67,37 +60,6 @@ def _pack_rows(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[in
     return lists.mapInArrow(_scatter, "row_id bigint, vec array<double>")
 
 
-def _array_scores(shared, view: int):
-    """Arrow-batched ``X Z'`` for an array column, with broadcast loadings."""
-    @F.pandas_udf("array<double>")
-    def score(arrays: pd.Series) -> pd.Series:
-        z = shared.value[view]
-        return pd.Series(list(np.vstack(arrays.to_list()) @ z.T))
-
-    return score
-
-
-def _array_predictions(shared, view: int):
-    @F.pandas_udf("array<double>")
-    def predict(sums: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(sums.to_list()) @ shared.value[view]))
-
-    return predict
-
-
-def _weighted_sum(terms: Sequence[tuple[Column, Column]], width: int) -> Column:
-    """``sum of number * array`` as an array of ``width`` entries."""
-    if not terms:
-        return F.array_repeat(F.lit(0.0), width)
-    # The number is repeated outside the lambda, so it is computed once per row
-    # and not once per entry.
-    total = None
-    for number, weights in terms:
-        part = F.zip_with(weights, F.array_repeat(number, width), lambda w, x: w * x)
-        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
-    return total
-
-
 class _Shared(HasInputCols, HasStandardization):
     k = Param(Params._dummy(), "k", "number of components", typeConverter=TypeConverters.toInt)
     rhos = Param(Params._dummy(), "rhos", "sparsity in [0, 1], one value or one per view",
@@ -317,11 +279,22 @@ class MultiViewCCA(
 class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
     """Fitted loadings with scoring, correlations and cross-view prediction."""
 
+    outcomeCol = Param(Params._dummy(), "outcomeCol", "the one view that transform predicts; all of them if not set",
+                       typeConverter=TypeConverters.toString)
+
+    def setOutcomeCol(self, value: str):
+        if value not in self.getInputCols():
+            raise ValueError("outcomeCol is not one of the views")
+        return self._set(outcomeCol=value)
+
+    def getOutcomeCol(self) -> str:
+        return self.getOrDefault(self.outcomeCol)
+
     def __init__(self, result: FitResult | None = None):
         super().__init__()
         self._setDefault(rowCol="row_id", k=1, rhos=[0.1], standardization=True, centering="batch")
         self._result = result
-        self._local: list | None = None
+        self._rows: int | None = None
 
     # ------------------------------------------------------------ tables
 
@@ -341,97 +314,90 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         return self._result.widths
 
     @property
-    def steps(self) -> dict:
+    def steps(self) -> dict[tuple[int, int, int], int]:
         """Power steps taken, by (component, view, other view)."""
-        return self._result.steps
+        return {key: course.steps for key, course in self._result.progress.items()}
+
+    @property
+    def stop_reasons(self) -> dict[tuple[int, int, int], str]:
+        """Why each power iteration ended: "converged", "zero" or "limit"."""
+        return {key: course.reason for key, course in self._result.progress.items()}
+
+    @property
+    def losses(self) -> dict[tuple[int, int, int], list[float]]:
+        """The losses of each power iteration, one per step."""
+        return {key: list(course.losses) for key, course in self._result.progress.items()}
 
     def support(self) -> DataFrame:
         return self.loadings.select("component", "view_idx", "feature_id")
 
-    def _small_loadings(self) -> list | None:
-        """The loadings as rows if there are few enough to write into a plan."""
-        if self._local is None:
-            rows = self.loadings.limit(INLINE_LOADINGS + 1).collect()
-            self._local = [rows if len(rows) <= INLINE_LOADINGS else None]
-        return self._local[0]
+    def _rows_bound(self) -> int:
+        """The number of loadings, counted once."""
+        if self._rows is None:
+            self._rows = self.loadings.count()
+        return self._rows
 
     # ------------------------------------------------------------ wide form
 
     def transform(self, dataset: DataFrame, params=None) -> DataFrame:
-        """Append ``score_<view>`` (k numbers) and ``prediction_<view>`` (all features)."""
+        """Append ``score_<view>`` (k numbers) and ``prediction_<view>`` (all features).
+
+        With ``outcomeCol`` only that view is predicted.  One plan whatever the width: the loadings'
+        supports are read as one row per view, scores take a subject's entries in them, and
+        predictions are 0 elsewhere.
+        """
         return super().transform(dataset, params)
 
+    def _raw_scores(self, dataset: DataFrame) -> DataFrame:
+        """The dataset and ``_r<view>``, the uncentred scores of every component."""
+        cols, k = self.getInputCols(), self.getK()
+        if len(cols) != len(self.widths):
+            raise ValueError(f"the model needs {len(self.widths)} views")
+        loadings = self.loadings.withColumnRenamed("loading", "value")
+        views = range(len(cols))
+        rows = dataset.withColumns(
+            {f"_a{i}": whole_array(view_column(dataset, c), w) for i, (c, w) in enumerate(zip(cols, self.widths, strict=True))}
+            | {f"_z{i}": wide.packed(loadings, i, k, self.widths[i]) for i in views})
+        return rows.withColumns({f"_r{i}": wide.dots(F.col(f"_a{i}"), F.col(f"_z{i}"), k) for i in views}).drop(
+            *[f"_a{i}" for i in views], *[f"_z{i}" for i in views])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         cols, d, k = self.getInputCols(), len(self.widths), self.getK()
-        if len(cols) != d:
-            raise ValueError(f"the model needs {d} views")
-        rows = self._small_loadings()
-        dense = None
-        raw = {}
-        if rows is None:
-            dense = self._dense_loadings()
-            shared = dataset.sparkSession.sparkContext.broadcast(dense)
-            for i, c in enumerate(cols):
-                s = _array_scores(shared, i)(view_column(dataset, c).cast("array<double>"))
-                raw.update({(i, q): s[q] for q in range(k)})
-        else:
-            for i, c in enumerate(cols):
-                for q in range(k):
-                    mine = sorted((r["feature_id"], r["loading"]) for r in rows
-                                  if r["view_idx"] == i and r["component"] == q)
-                    raw[i, q] = sparse_dot(
-                        whole_array(view_column(dataset, c)), [f for f, _ in mine], [w for _, w in mine])
-        out = dataset.withColumns({f"_s{i}_{q}": e for (i, q), e in raw.items()})
+        outcomes = [cols.index(self.getOutcomeCol())] if self.isDefined(self.outcomeCol) else list(range(d))
+        out = self._raw_scores(dataset)
+        pairs = [(i, q) for i in range(d) for q in range(k)]
         if not self.getStandardization():
-            mean = {key: F.lit(0.0) for key in raw}
+            mean = {key: F.lit(0.0) for key in pairs}
         elif self.getCentering() == "training":
             known = {(i, q): m for q, i, m in self._result.score_means}
-            mean = {key: F.lit(float(known.get(key, 0.0))) for key in raw}
+            mean = {key: F.lit(float(known.get(key, 0.0))) for key in pairs}
         else:
-            means = dataset.agg(
-                F.struct(*[F.avg(e).alias(f"m{i}_{q}") for (i, q), e in raw.items()]).alias("m")
-            ).scalar()
+            means = out.agg(F.struct(*[F.avg(F.col(f"_r{i}")[q]).alias(f"m{i}_{q}") for i, q in pairs]).alias("m")).scalar()
             out = out.withColumn("_m", means)
-            mean = {(i, q): F.col("_m")[f"m{i}_{q}"] for i, q in raw}
-        score = {key: F.col(f"_s{key[0]}_{key[1]}") - mean[key] for key in raw}
+            mean = {(i, q): F.col("_m")[f"m{i}_{q}"] for i, q in pairs}
         out = out.withColumns({
-            f"score_{c}": F.array(*[score[i, q] for q in range(k)]) for i, c in enumerate(cols)})
-        weights = self._dense_weights(self._dense_loadings(rows) if dense is None else dense)
-        predictions = {}
-        if dense is not None:
-            shared = dataset.sparkSession.sparkContext.broadcast(weights)
-        for o, c in enumerate(cols):
-            total = [
-                sum((F.col(f"score_{cols[j]}")[q] for j in range(d) if j != o), F.lit(0.0))
-                for q in range(k)]
-            if dense is not None:
-                predictions[f"prediction_{c}"] = _array_predictions(shared, o)(F.array(*total))
-                continue
-            used = [(total[q], array_literal(w.tolist())) for q, w in enumerate(weights[o]) if w.any()]
-            predictions[f"prediction_{c}"] = _weighted_sum(used, self.widths[o])
-        return out.withColumns(predictions).drop("_m", *[f"_s{i}_{q}" for i, q in raw])
-
-    def _dense_loadings(self, rows=None) -> list[np.ndarray]:
-        """Components by features per view; the size of a few subjects' arrays."""
-        if self.getK() * sum(self.widths) > INLINE_WEIGHTS:
-            raise ValueError(
-                "the views are too wide to score arrays; use score_cells and predict_cells")
-        out = [np.zeros((self.getK(), w)) for w in self.widths]
-        for r in self.loadings.toLocalIterator() if rows is None else rows:
-            out[r["view_idx"]][r["component"], r["feature_id"]] = r["loading"]
-        return out
-
-    @staticmethod
-    def _dense_weights(loadings: list[np.ndarray]) -> list[np.ndarray]:
-        """Prediction weights, components by features per view."""
-        return [np.linalg.pinv(z @ z.T, hermitian=True) @ z for z in loadings]
+            f"score_{c}": F.array(*[F.col(f"_r{i}")[q] - mean[i, q] for q in range(k)]) for i, c in enumerate(cols)})
+        weights = scoring.prediction_weights(self.loadings).withColumnRenamed("weight", "value")
+        out = out.withColumns({f"_t{o}": F.array(*[
+            sum((F.col(f"score_{c}")[q] for j, c in enumerate(cols) if j != o), F.lit(0.0)) for q in range(k)]) for o in outcomes}
+            | {f"_w{o}": wide.packed(weights, o, k, self.widths[o]) for o in outcomes})
+        out = out.withColumns({f"prediction_{cols[o]}": wide.spread_out(F.col(f"_t{o}"), F.col(f"_w{o}"), k) for o in outcomes})
+        return out.drop("_m", *[f"_r{i}" for i in range(d)], *[f"_{x}{o}" for o in outcomes for x in "tw"])
+
+    def canonical_correlations_frame(self, dataset: DataFrame) -> DataFrame:
+        """``(component, view_i, view_j, corr)`` on array or vector columns, in one aggregate."""
+        d, k = len(self.widths), self.getK()
+        raw = self._raw_scores(dataset)
+        found = raw.agg(*[
+            safe_corr(F.col(f"_r{i}")[q], F.col(f"_r{j}")[q]).alias(f"c{q}_{i}_{j}")
+            for q in range(k) for i in range(d) for j in range(i)])
+        return found.select(F.inline(F.array(*[
+            F.struct(F.lit(q).cast("int").alias("component"), F.lit(i).cast("int").alias("view_i"), F.lit(j).cast("int").alias("view_j"),
+                     (F.lit(1.0) if i == j else F.col(f"c{q}_{max(i, j)}_{min(i, j)}")).alias("corr"))
+            for q in range(k) for i in range(d) for j in range(d)])))
 
     # ------------------------------------------------------------ long form
 
-    def _rows_bound(self) -> int | None:
-        rows = self._small_loadings()
-        return len(rows) if rows is not None else None
-
     def _score_table(self, cells, subjects, centered) -> DataFrame:
         table = scoring.score_table(
             cells, self.loadings, len(self.widths), self.getK(), subjects, self._rows_bound())
@@ -482,7 +448,7 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
 
     def copy(self, extra=None):
         that = super().copy(extra)
-        that._result, that._local = self._result, self._local
+        that._result, that._rows = self._result, self._rows
         return that
 
 

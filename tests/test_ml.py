@@ -9,6 +9,7 @@ from polyview import (
     fold_column, holdout_split,
 )
 from polyview.operators import mean_correlation
+from polyview.plans.common import FitResult
 from polyview.sources import cells_from_arrays
 from test_fit import correlated, dense, frame
 
@@ -45,23 +46,47 @@ def test_transform(fitted, data):
         assert np.allclose([r[f"prediction_v{i}"] for r in rows], predictions[i])
 
 
-def test_transform_with_many_loadings(fitted, data, monkeypatch):
-    """Wide models are scored with broadcast weights; the numbers are the same."""
-    from polyview.ml import estimator
+def test_transform_of_one_view(fitted, data):
     model, df = fitted
-    want = model.transform(df).orderBy("row_id").collect()
-    monkeypatch.setattr(estimator, "INLINE_LOADINGS", 3)
-    got = model.copy().copy()
-    got._local = None
-    got = got.transform(df).orderBy("row_id").collect()
-    for i in range(3):
-        for name in (f"score_v{i}", f"prediction_v{i}"):
-            assert np.allclose([r[name] for r in got], [r[name] for r in want])
-    monkeypatch.setattr(estimator, "INLINE_WEIGHTS", 3)
+    _, predictions = expected(data, dense(model))
+    out = model.transform(df, {model.outcomeCol: "v1"})
+    assert [c for c in out.columns if c.startswith("prediction")] == ["prediction_v1"] and not any(c.startswith("_") for c in out.columns)
+    assert np.allclose([r.prediction_v1 for r in out.orderBy("row_id").collect()], predictions[1])
     with pytest.raises(ValueError):
-        other = model.copy()
-        other._local = None
-        other.transform(df)
+        model.copy().setOutcomeCol("row_id")
+
+
+def test_transform_of_wide_views(spark):
+    """Two million features and as many loadings in the second view; the plan holds none of them."""
+    width, n = 2_000_000, 3
+    cells = [(0, 5, 2.0), (0, width - 1, -1.0), (1, 0, 0.5), (1, 7, 3.0)]
+    one = spark.createDataFrame([(0, v, f, z) for v, f, z in cells], "component int, view_idx int, feature_id bigint, loading double")
+    rest = spark.range(100, width, 10).selectExpr("1 component", "1 view_idx", "id feature_id", "id / 1e6 loading")
+    model = MultiViewCCAModel(FitResult(one.unionByName(rest), [], [], [width, width]))
+    model._set(inputCols=["a", "b"], k=2)
+    xs = [np.array([(np.arange(width) * a + row * row * b) % c / 8 for row in range(n)]) for a, b, c in ((7, 13, 101), (11, 5, 97))]
+    z = np.zeros((2, 2, width))
+    for v, f, w in cells:
+        z[v, 0, f] = w
+    z[1, 1, 100::10] = np.arange(100, width, 10) / 1e6
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    frame = spark.range(n).select(F.col("id").alias("row_id"), *[
+        F.transform(every, lambda f: (f * a + F.col("id") * F.col("id") * b) % c / 8).alias(name)  # noqa: B023
+        for name, a, b, c in (("a", 7, 13, 101), ("b", 11, 5, 97))])
+    out = model.transform(frame)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+    got = out.orderBy("row_id").toArrow()
+    s = [(x - x.mean(0)) @ w.T for x, w in zip(xs, z)]
+    for i in range(2):
+        assert np.allclose(got[f"score_{'ab'[i]}"].to_pylist(), s[i])
+        want = s[1 - i] @ np.linalg.pinv(z[i] @ z[i].T) @ z[i]
+        assert np.allclose(got[f"prediction_{'ab'[i]}"].combine_chunks().flatten().to_numpy().reshape(n, width), want)
+
+
+def test_courses(fitted):
+    model, _ = fitted
+    assert set(model.stop_reasons.values()) <= {"converged", "zero", "limit"}
+    assert model.steps.keys() == model.losses.keys() and all(len(model.losses[key]) == n for key, n in model.steps.items())
 
 
 def test_transform_matches_long_form(fitted, data):
@@ -119,6 +144,8 @@ def test_correlations_and_evaluators(fitted, data):
     scores, predictions = expected(data, dense(model))
     got = {tuple(r)[:3]: r["corr"] for r in model.canonical_correlations(cells_from_arrays(df, "row_id", COLS)).collect()}
     assert len(got) == 2 * 9
+    frame_form = {tuple(r)[:3]: r["corr"] for r in model.canonical_correlations_frame(df).collect()}
+    assert frame_form.keys() == got.keys() and all(frame_form[key] == pytest.approx(v) for key, v in got.items())
     for (c, i, j), value in got.items():
         assert value == pytest.approx(1.0 if i == j else np.corrcoef(scores[i][:, c], scores[j][:, c])[0, 1])
     out = model.transform(df)
