@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -23,7 +25,7 @@ from polyview.plans import covariance, gram, sparse
 from polyview.plans.common import MEANS, SIGMA, FitOptions, FitResult, log
 
 from polyview.sources.views import (
-    _scatter, cells_from_arrays, checked_cells, checked_subjects, dense_index, feature_vectors_from_arrays,
+    CELL_FAULTS, _scatter, cells_from_arrays, checked_cells, checked_subjects, dense_index, feature_vectors_from_arrays,
 )
 
 def view_column(df: DataFrame, name: str) -> Column:
@@ -251,24 +253,36 @@ class MultiViewCCA(
         return self._fit_long(cells, subjects, list(widths), opts, cols)
 
     def _fit_long(self, cells, subjects, widths, opts, cols):
+        try:
+            return self._fit_checked(cells, subjects, widths, opts, cols)
+        except PySparkException as error:
+            for fault in CELL_FAULTS:
+                if fault in str(error):
+                    raise ValueError(fault) from error
+            raise
+
+    def _fit_checked(self, cells, subjects, widths, opts, cols):
         subjects = checked_subjects(subjects) if subjects is not None else None
         cells = checked_cells(cells, subjects, widths)
         ids = subjects if subjects is not None else cells.select("row_id").distinct()
-        plan = self._choose(widths, ids.count)
+        count = cache(ids.count)
+        plan = self._choose(widths, count)
         if self.getVerbose():
             log.info("fitting with the %s plan", plan)
         if plan == "covariance":
-            rows = _pack_rows(cells, subjects, widths)
+            rows = _pack_rows(cells, subjects, widths).persist(StorageLevel.MEMORY_AND_DISK)
             start, views = 1, []
             for w in widths:
                 views.append(F.slice("vec", start, w))
                 start += w
-            return self._model(covariance.fit(rows, views, widths, opts), cols)
+            try:
+                return self._model(covariance.fit(rows, views, widths, opts), cols)
+            finally:
+                rows.unpersist()
         if plan == "gram":
-            n = ids.count()
-            index = dense_index(ids, ["row_id"], "row_idx", n)
-            return self._model(gram.fit(gram.vectors_of_cells(cells, index, n), n, widths, opts), cols)
-        return self._model(sparse.fit(cells, ids.count(), widths, opts), cols)
+            index = dense_index(ids, ["row_id"], "row_idx", count())
+            return self._model(gram.fit(gram.vectors_of_cells(cells, index, count()), count(), widths, opts), cols)
+        return self._model(sparse.fit(cells, count(), widths, opts), cols)
 
     def _model(self, result: FitResult, cols: Sequence[str]) -> "MultiViewCCAModel":
         model = MultiViewCCAModel(result)
@@ -357,9 +371,9 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         views = range(len(cols))
         rows = dataset.withColumns(
             {f"_a{i}": whole_array(view_column(dataset, c), w) for i, (c, w) in enumerate(zip(cols, self.widths, strict=True))}
-            | {f"_z{i}": wide.packed(loadings, i, k, self.widths[i]) for i in views})
-        return rows.withColumns({f"_r{i}": wide.dots(F.col(f"_a{i}"), F.col(f"_z{i}"), k) for i in views}).drop(
-            *[f"_a{i}" for i in views], *[f"_z{i}" for i in views])
+            | {"_z": wide.packed(loadings, views, k, self.widths)})
+        return rows.withColumns({f"_r{i}": wide.dots(F.col(f"_a{i}"), F.col("_z")[f"v{i}"], k) for i in views}).drop(
+            "_z", *[f"_a{i}" for i in views])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         cols, d, k = self.getInputCols(), len(self.widths), self.getK()
@@ -380,9 +394,9 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         weights = scoring.prediction_weights(self.loadings).withColumnRenamed("weight", "value")
         out = out.withColumns({f"_t{o}": F.array(*[
             sum((F.col(f"score_{c}")[q] for j, c in enumerate(cols) if j != o), F.lit(0.0)) for q in range(k)]) for o in outcomes}
-            | {f"_w{o}": wide.packed(weights, o, k, self.widths[o]) for o in outcomes})
-        out = out.withColumns({f"prediction_{cols[o]}": wide.spread_out(F.col(f"_t{o}"), F.col(f"_w{o}"), k) for o in outcomes})
-        return out.drop("_m", *[f"_r{i}" for i in range(d)], *[f"_{x}{o}" for o in outcomes for x in "tw"])
+            | {"_w": wide.packed(weights, outcomes, k, self.widths)})
+        out = out.withColumns({f"prediction_{cols[o]}": wide.spread_out(F.col(f"_t{o}"), F.col("_w")[f"v{o}"], k) for o in outcomes})
+        return out.drop("_m", "_w", *[f"_r{i}" for i in range(d)], *[f"_t{o}" for o in outcomes])
 
     def canonical_correlations_frame(self, dataset: DataFrame) -> DataFrame:
         """``(component, view_i, view_j, corr)`` on array or vector columns, in one aggregate."""

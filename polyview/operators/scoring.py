@@ -37,8 +37,9 @@ def score_table(
 ) -> DataFrame:
     """All scores of a subject in one row: ``(row_id, s0_0, s0_1, ..)`` (view, component).
 
-    One shuffle, by subject, after map-side sums.  Every subject that has cells
-    or is listed in ``subjects(row_id)`` gets a row.
+    Cells outside the support are dropped before anything moves; sums and subjects
+    are combined map-side and shuffled by subject.  Every subject that has cells, or
+    is listed in ``subjects(row_id)`` if that is given, gets a row.
     """
     sums = [
         F.coalesce(
@@ -48,11 +49,10 @@ def score_table(
         ).alias(f"s{i}_{q}")
         for i in range(n_views) for q in range(components)
     ]
-    out = cells.join(lookup(loadings, rows), ["view_idx", "feature_id"], "left").groupBy("row_id").agg(*sums)
-    if subjects is None:
-        return out
+    out = cells.join(lookup(loadings, rows), ["view_idx", "feature_id"]).groupBy("row_id").agg(*sums)
     names = [c for c in out.columns if c != "row_id"]
-    return subjects.select("row_id").join(out, "row_id", "left").na.fill(0.0, names)
+    ids = cells.select("row_id").distinct() if subjects is None else subjects.select("row_id")
+    return ids.join(out, "row_id", "left").na.fill(0.0, names)
 
 
 def center_table(table: DataFrame) -> DataFrame:
@@ -263,6 +263,12 @@ def _all_features(spark, widths: Sequence[int]) -> DataFrame:
     return spark.range(1).select(F.inline(views)).select("view_idx", F.explode("ids").alias("feature_id"))
 
 
+def subject_blocks(spark, widths: Sequence[int], chunk: int) -> int:
+    """So many blocks of subjects that (chunk, block) pairs are four per shuffle partition at least."""
+    chunks = sum(-(-w // chunk) for w in widths)
+    return max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // chunks))
+
+
 def predict_cells(
     sums: DataFrame, weights: DataFrame, widths: Sequence[int],
     dense: bool = True, rows: int | None = None, chunk: int = 1024,
@@ -273,9 +279,10 @@ def predict_cells(
     ``widths`` holds the features per view.  Features outside every support are predicted 0; with
     ``dense=False`` they are left out.
 
-    Weights with a known small bound are broadcast.  Otherwise they are packed
-    into chunks of features, and every subject row is sent once per chunk, so
-    the join is on (view, chunk) and not on the handful of view numbers.
+    Weights with a known small bound are broadcast.  Otherwise it is a blocked product:
+    weights are packed into chunks of features and subjects dealt into blocks; a subject's
+    row is sent once per chunk and a chunk once per block, so a task's share is one block
+    against one chunk, however few chunks or views there are.
     """
     per_feature = weights.groupBy("view_idx", "feature_id").agg(
         F.map_from_entries(F.collect_list(F.struct("component", "weight"))).alias("w")
@@ -301,10 +308,12 @@ def predict_cells(
         chunks = F.lit(0)
         for i, w in enumerate(widths):
             chunks = F.when(F.col("view_idx") == i, F.lit((w - 1) // chunk)).otherwise(chunks)
+        blocks = subject_blocks(sums.sparkSession, widths, chunk)
+        sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         joined = (
-            by_subject.withColumn(
+            by_subject.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")).withColumn(
                 "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks.cast("bigint"))))
-            .join(packed, ["view_idx", "chunk"])
+            .join(sent, ["view_idx", "chunk", "block"])
             .select("view_idx", "row_id", "s", F.inline("features"))
         )
     term = F.aggregate(

@@ -1,35 +1,40 @@
 """Scores and predictions of array columns, by the weights' support alone.
 
-A view's weights become one small row: the support's positions and the weights there.
+The views' weights become one small row: the supports' positions and the weights there.
 It enters a plan as a scalar subquery, so the plan's text and the driver do not grow
-with the weights, and no row carries more of them than one subject's support.
+with the weights, and no row carries more of them than the entries of one subject in the supports.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def packed(weights: DataFrame, view: int, components: int, width: int) -> Column:
-    """A view's rows of ``weights(view_idx, component, feature_id, value)`` as one struct.
+def packed(weights: DataFrame, views: Sequence[int], components: int, widths: Sequence[int]) -> Column:
+    """The views' rows of ``weights(view_idx, component, feature_id, value)`` as a struct with a field ``v<view>`` each.
 
     idx: the support in order; w: its weights, an array per component; gaps: how many features
     lie before each of the support, since the one before; tail: how many lie behind it.
     """
-    entries = weights.filter(F.col("view_idx") == view).groupBy("feature_id").agg(*[
-        F.coalesce(F.sum(F.when(F.col("component") == q, F.col("value"))), F.lit(0.0)).alias(f"w{q}")
-        for q in range(components)])
-    row = entries.agg(F.array_sort(F.collect_list(F.struct("feature_id", *[f"w{q}" for q in range(components)]))).alias("s"))
-    # A field of an array of structs is the array of the fields.
-    row = row.select(F.col("s.feature_id").cast("array<int>").alias("idx"),
-                     F.array(*[F.col(f"s.w{q}") for q in range(components)]).alias("w"))
-    before = F.concat(F.array(F.lit(-1)), F.col("idx"))
-    return row.select(F.struct(
-        "idx", "w", F.zip_with("idx", F.slice(before, 1, F.size("idx")), lambda i, b: i - b - 1).alias("gaps"),
-        (F.lit(width - 1) - F.element_at(before, -1)).alias("tail"))).scalar()
+    names = [f"w{q}" for q in range(components)]
+    entries = weights.groupBy("view_idx", "feature_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("component") == q, F.col("value"))), F.lit(0.0)).alias(n) for q, n in enumerate(names)])
+    row = entries.agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("view_idx") == v, F.struct("feature_id", *names)))).alias(f"s{v}") for v in views])
+    fields = []
+    for v in views:
+        # A field of an array of structs is the array of the fields.
+        idx = F.col(f"s{v}.feature_id").cast("array<int>")
+        before = F.concat(F.array(F.lit(-1)), idx)
+        fields.append(F.struct(
+            idx.alias("idx"), F.array(*[F.col(f"s{v}.{n}") for n in names]).alias("w"),
+            F.zip_with(idx, F.slice(before, 1, F.size(idx)), lambda i, b: i - b - 1).alias("gaps"),
+            (F.lit(widths[v] - 1) - F.element_at(before, -1)).alias("tail")).alias(f"v{v}"))
+    return row.select(F.struct(*fields)).scalar()
 
 
 def dots(array: Column, weights: Column, components: int) -> Column:

@@ -28,6 +28,7 @@ from polyview.plans.common import (
     LOADINGS, FitOptions, FitResult, Progress, deflated_by, others, symmetric, warn_zero,
 )
 from polyview.session import BROADCAST_ROWS, cut_lineage, lookup
+from polyview.sources.views import REPEATED
 
 TIE = 1e-11
 PROBES = 8
@@ -53,22 +54,31 @@ class Placed:
         heavy = [r[key] for r in counts.filter(F.col("n") > max(limit, 1024)).collect()]
         self.heavy_keys = None
         self.heavy = None
+        self.kept = []
         light = cells
         if heavy:
             ids = cells.sparkSession.createDataFrame([(h,) for h in heavy], f"{key} bigint")
             self.heavy_keys = F.broadcast(ids)
             light = cells.join(self.heavy_keys, key, "left_anti")
-            self.heavy = (
-                cells.join(self.heavy_keys, key, "left_semi")
-                .repartition(parts, key, other).persist(KEPT)
-            )
-        self.light = light.repartition(parts, key).persist(KEPT)
+            self.heavy = self._keep(cells.join(self.heavy_keys, key, "left_semi").repartition(parts, key, other))
+        self.light = self._keep(light.repartition(parts, key))
+
+    def _keep(self, placed: DataFrame) -> DataFrame:
+        """The placed cells that are not 0; all are kept, for the check."""
+        self.kept.append(placed.persist(KEPT))
+        return placed.filter("value != 0")
+
+    def refuse_repeats(self):
+        """Equal cells lie in one partition, so this moves nothing."""
+        for piece in self.kept:
+            if piece.groupBy("row_id", "feature_id").count().filter("count > 1").head(1):
+                raise ValueError(REPEATED)
 
     def pieces(self):
         return [self.light] + ([self.heavy] if self.heavy is not None else [])
 
     def release(self):
-        for piece in self.pieces():
+        for piece in self.kept:
             piece.unpersist()
 
 
@@ -80,6 +90,7 @@ class Matrix:
         self.n_cells = n_cells
         self.cells = cells
         self.by_row = Placed(cells, "row_id", parts, n_cells)
+        self.by_row.refuse_repeats()
         self.by_feature = None
         self.owned = True
         if width > BROADCAST_ROWS:
@@ -539,18 +550,19 @@ def solve(matrices: list[Matrix], opts: FitOptions):
 def fit(cells: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitResult:
     spark = cells.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.persist(KEPT)
     counts = {r["view_idx"]: r["n"] for r in
               cells.groupBy("view_idx").agg(F.count("*").alias("n")).collect()}
     matrices = []
     try:
         for i, w in enumerate(widths):
-            one = cells.filter((F.col("view_idx") == i) & (F.col("value") != 0)).select(
-                "row_id", "feature_id", "value")
+            one = cells.filter(F.col("view_idx") == i).select("row_id", "feature_id", "value")
             matrices.append(Matrix(one, n, w, opts.centered, parts, counts.get(i, 0)))
         saved, sigmas, courses = solve(matrices, opts)
     finally:
         for m in matrices:
             m.release()
+        cells.unpersist()
     loadings = spark.createDataFrame([], LOADINGS)
     for k, i, z, _ in saved:
         loadings = loadings.unionByName(

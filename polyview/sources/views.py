@@ -145,29 +145,26 @@ def checked_subjects(subjects: DataFrame) -> DataFrame:
     return ids
 
 
+NULL_KEY, OUTSIDE, BAD_VALUE, REPEATED = CELL_FAULTS = (
+    "a cell has a null key", "a cell is outside the views", "a cell is null, NaN or infinite", "a cell is repeated")
+
+
 def checked_cells(cells: DataFrame, subjects: DataFrame | None, widths: Sequence[int]) -> DataFrame:
-    """The cells of the given subjects, checked in one grouped pass.
+    """The cells of the given subjects; a faulty one fails the query that reads it.
 
-    A null key, a view or feature out of range, a null, NaN or infinite value and a
-    repeated (view, row, feature) raise; all fitting plans get the same cells.
+    Null keys, views or features out of range and null, NaN or infinite values are found by a filter,
+    without a pass of its own; repeated cells where the plans bring a subject's cells together.
     """
     typed = cells.select(
         F.col("view_idx").cast("int").alias("view_idx"), F.col("row_id").cast("bigint").alias("row_id"),
         F.col("feature_id").cast("bigint").alias("feature_id"), F.col("value").cast("double").alias("value"))
     if subjects is not None:
         typed = typed.join(subjects.select("row_id"), "row_id", "left_semi").select(*CELL_COLUMNS)
-    keys = CELL_COLUMNS[:3]
     width = F.get(F.lit([int(w) for w in widths]), F.when(F.col("view_idx") >= 0, F.col("view_idx")))
     null = F.col("view_idx").isNull() | F.col("row_id").isNull() | F.col("feature_id").isNull()
     outside = ~F.coalesce((F.col("feature_id") >= 0) & (F.col("feature_id") < width), F.lit(False))
-    found = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(_bad(F.col("value"))).alias("bad")).agg(
-        F.max(null).alias("a cell has a null key"), F.max(outside).alias("a cell is outside the views"),
-        F.max("bad").alias("a cell is null, NaN or infinite"),
-        F.max(F.col("n") > 1).alias("a cell is repeated")).first().asDict()
-    for fault, holds in found.items():
-        if holds:
-            raise ValueError(fault)
-    return typed
+    fault = F.when(null, F.lit(NULL_KEY)).when(outside, F.lit(OUTSIDE)).when(_bad(F.col("value")), F.lit(BAD_VALUE))
+    return typed.filter(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
 
 
 def match_subjects(cells: DataFrame, n_views: int) -> DataFrame:
@@ -204,8 +201,12 @@ def _scatter(batches):
         counts = pos.value_lengths().to_numpy()
         ends = np.cumsum(sizes)
         flat = np.zeros(int(ends[-1]) if len(ends) else 0)
-        base = np.repeat(ends - sizes, counts)
-        flat[base + pos.flatten().to_numpy()] = val.flatten().to_numpy()
+        target = np.repeat(ends - sizes, counts) + pos.flatten().to_numpy()
+        taken = np.zeros(len(flat), bool)
+        taken[target] = True
+        if np.count_nonzero(taken) < len(target):
+            raise ValueError(REPEATED)
+        flat[target] = val.flatten().to_numpy()
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
         keep = [n for n in batch.schema.names if n not in ("pos", "val", "size")]
         yield pa.RecordBatch.from_arrays(

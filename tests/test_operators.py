@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from polyview import operators as ops
 from polyview.functions import safe_corr, soft_threshold, sparse_dot
+from polyview.operators import scoring
 from polyview.sources import (
     cells_from_arrays, cells_from_columns, cells_from_facts, dense_index, feature_vectors,
     feature_vectors_from_arrays, fill_missing, low_rank_cells, match_subjects, matrix_rows,
@@ -214,3 +215,20 @@ def test_low_rank_data(spark):
     assert (a == again).all()
     plain = array(low_rank_cells(ids, [20], [0.2], eps=0.0).filter("row_id = 4"), "row_id", "feature_id", (30, 20))[4]
     assert (np.sign(plain[:2]) == -np.sign(plain[2:4])).all() and not plain[4:].any()
+
+
+def test_predictions_of_few_chunks_are_spread(spark):
+    """One chunk of one view: the joined keys are (chunk, block) pairs, none with more than its share."""
+    n, width = 4000, 10
+    blocks = scoring.subject_blocks(spark, [width, width], 1024)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks * 2 >= 4 * parts and scoring.subject_blocks(spark, [1 << 30], 1024) == 1
+    sums = spark.range(n).select(
+        F.lit(1).alias("view_idx"), F.col("id").alias("row_id"),
+        F.array(F.struct(F.lit(0).alias("component"), (F.col("id") / 8).alias("score"))).alias("s"))
+    weights = spark.createDataFrame([(1, 0, f, f + 0.5) for f in range(0, width, 3)], "view_idx int, component int, feature_id bigint, weight double")
+    out = scoring.predict_cells(sums, weights, [width, width], dense=False)
+    got = {(r.row_id, r.feature_id): r.prediction for r in out.collect()}
+    assert got == {(r, f): r / 8 * (f + 0.5) for r in range(n) for f in range(0, width, 3)}
+    share = sums.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(blocks))).count().agg(F.max("count")).first()[0]
+    assert share <= 1.3 * n / blocks
