@@ -19,7 +19,7 @@ class Ctes:
 
     def query(self, final: str) -> str:
         body = ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in self.items)
-        return f"WITH {body}\n{final}"
+        return f"WITH RECURSIVE {body}\n{final}"
 
 
 def raw_embeddings(parts: Sequence[tuple[int, int]]) -> str:
@@ -135,6 +135,63 @@ def cca(c: Ctes, d: int, k: int, rhos: Sequence[float], steps: int, x: str = "x"
     c.add(f"{p}sig", " UNION ALL ".join(f"SELECT {q} component, vi, vj, s FROM {p}k{q}sig" for q in range(k)))
 
 
+def soft(w: str, bound: str) -> str:
+    return f"sign({w}) * greatest(0, abs({w}) - {bound})"
+
+
+def until_settled(c: Ctes, name: str, start: str, step: str, tol: float) -> str:
+    """Iterates (s, x, loss, done) from ``start``; ``step`` makes (s, x, loss, before) of the iterates that are not done.
+
+    The last row is the first iterate, from the second on, whose loss is 0 or near the one before.
+    """
+    return c.add(name, f"SELECT 0 s, ({start}) x, NULL::DOUBLE loss, false done UNION ALL "
+                       f"SELECT s + 1, x, loss, s >= 1 AND (loss = 0 OR abs(loss - before) <= {tol!r} * abs(before)) FROM ({step})")
+
+
+def converged(c: Ctes, d: int, rho: float, tol: float = 1e-4, x: str = "x") -> None:
+    """One component on centred cells, every iteration run to its stop rule; adds ``load``.
+
+    Vectors are lists, so a step is a row of a recursive query; all losses are kept.
+    """
+    c.add("cc", f"SELECT a.v vj, b.v vi, a.f j, b.f i, sum(a.x * b.x) c FROM {x} a JOIN {x} b ON a.r = b.r AND a.v <> b.v GROUP BY ALL")
+    for i in range(d):
+        terms, norms = [], []
+        for j in (j for j in range(d) if j != i):
+            u = f"p{i}{j}"
+            only = f" AND j IN (SELECT f FROM st{j})" if j < i else ""
+            c.add(f"{u}a", f"SELECT j, i, c FROM cc WHERE vj = {j} AND vi = {i}{only}")
+            c.add(f"{u}m", f"SELECT i, sqrt(sum(c * c)) n FROM {u}a GROUP BY i ORDER BY 2 DESC, 1 LIMIT 1")
+            c.add(f"{u}r", f"SELECT list(row ORDER BY i) a, list(i ORDER BY i) ids FROM (SELECT i, list(c ORDER BY j) row FROM {u}a GROUP BY i)")
+            c.add(f"{u}t", f"SELECT list(col ORDER BY j) b FROM (SELECT j, list(c ORDER BY i) col FROM {u}a GROUP BY j)")
+            images = f"SELECT s, loss before, list_transform(a, lambda row: list_dot_product(row, x)) w FROM {u}it, {u}r WHERE NOT done"
+            shrunk = f"SELECT s, before, list_transform(w, lambda e: {soft('e', f'{rho!r} * n')}) z FROM ({images}), {u}m"
+            moved = f"SELECT s, before, list_dot_product(z, z) loss, list_transform(b, lambda col: list_dot_product(col, z)) y FROM ({shrunk}), {u}t"
+            until_settled(c, f"{u}it", f"SELECT list(c / n ORDER BY j) FROM {u}a JOIN {u}m USING (i)",
+                          f"SELECT s, before, loss, list_transform(y, lambda e: e / sqrt(list_dot_product(y, y))) x FROM ({moved})", tol)
+            terms.append(f"SELECT unnest(ids) f, unnest(list_transform(a, lambda row: list_dot_product(row, x))) w "
+                         f"FROM {u}r, (SELECT x FROM {u}it ORDER BY s DESC LIMIT 1)")
+            norms.append(f"(SELECT n FROM {u}m)")
+        top = norms[0] if len(norms) == 1 else f"greatest({', '.join(norms)})"
+        c.add(f"h{i}", f"SELECT f, {soft('w', f'{rho!r} * {top}')} z FROM (SELECT f, sum(w) w FROM ({' UNION ALL '.join(terms)}) GROUP BY f)")
+        c.add(f"st{i}", f"SELECT f, z / (SELECT sqrt(sum(z * z)) FROM h{i}) z FROM h{i} WHERE z <> 0")
+    for i in range(d):
+        before = [f"SELECT i, sum(c * z) t FROM cc JOIN fin{j} ON j = f WHERE vi = {i} AND vj = {j} GROUP BY i" for j in range(i)]
+        behind = (f"SELECT a.i, b.i i2, a.c * b.c t FROM cc a JOIN cc b USING (vi, vj, j) WHERE a.vi = {i} AND a.vj > {i} AND ("
+                  + " OR ".join([f"(vj = {j} AND j IN (SELECT f FROM st{j}))" for j in range(i + 1, d)] or ["false"]) + ")")
+        c.add(f"l{i}", f"SELECT list(t ORDER BY f) l FROM (SELECT f, coalesce(sum(t), 0) t FROM st{i} LEFT JOIN "
+                       f"({' UNION ALL '.join(before) or 'SELECT 0 i, 0.0 t WHERE false'}) ON i = f GROUP BY f)")
+        c.add(f"q{i}", f"SELECT list(row ORDER BY f) q, list(f ORDER BY f) ids FROM (SELECT f, list(t ORDER BY f2) row FROM ("
+                       f"SELECT a.f, b.f f2, coalesce(sum(t), 0) t FROM st{i} a CROSS JOIN st{i} b LEFT JOIN ({behind}) ON i = a.f AND i2 = b.f "
+                       "GROUP BY ALL) GROUP BY f)")
+        sums = (f"SELECT s, loss before, list_transform(range(len(l)), lambda k: l[k + 1] + list_dot_product(q[k + 1], x)) t "
+                f"FROM w{i}, l{i}, q{i} WHERE NOT done")
+        until_settled(c, f"w{i}", f"SELECT list(z ORDER BY f) FROM st{i}",
+                      "SELECT s, before, -2 * sqrt(list_dot_product(t, t)) loss, "
+                      f"list_transform(t, lambda e: e / sqrt(list_dot_product(t, t))) x FROM ({sums})", tol)
+        c.add(f"fin{i}", f"SELECT unnest(ids) f, unnest(x) z FROM q{i}, (SELECT x FROM w{i} ORDER BY s DESC LIMIT 1)")
+    c.add("load", " UNION ALL ".join(f"SELECT 0 component, {i} v, f, z FROM fin{i} WHERE z <> 0" for i in range(d)))
+
+
 LOADINGS = ("SELECT component::INTEGER component, v::INTEGER view_idx, f::BIGINT feature_id, "
             "round(z, 6) + 0.0 loading FROM load")
 
@@ -236,6 +293,18 @@ def build() -> dict[str, str]:
         "FROM embeddings CROSS JOIN (SELECT 0 v, unnest(generate_series(0, 39)) f, 4 h "
         "UNION ALL SELECT 1, unnest(generate_series(0, 29)), 6))")
 
+    def gauss(*keys):
+        uniform = [f"((('0x' || substr(md5(concat_ws(',', {', '.join(keys)}, {salt})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+                   for salt in (1, 2)]
+        return f"sqrt(-2 * ln({uniform[0]})) * cos(2 * pi() * {uniform[1]})"
+
+    put("lowrank_cells",
+        "SELECT v::INTEGER view_idx, r::BIGINT row_id, f::BIGINT feature_id, round(u * (w + 0.1 * g), 6) + 0.0 AS value FROM ("
+        f"SELECT v, vec_id r, f, {gauss('1', '-1', 'vec_id')} u, {gauss('1', 'v', 'f')} g, "
+        "CASE WHEN f < h THEN 1.0 WHEN f < 2 * h THEN -1.0 ELSE 0.0 END w "
+        "FROM embeddings CROSS JOIN (SELECT 0 v, unnest(generate_series(0, 39)) f, 4 h "
+        "UNION ALL SELECT 1, unnest(generate_series(0, 29)), 6))")
+
     # projections, filters, scalars
     put("center_columns", cells_out("x"), e, x)
     c = Ctes()
@@ -313,6 +382,7 @@ def build() -> dict[str, str]:
              "JOIN s b ON a.r = b.r AND a.q = b.q GROUP BY a.q, a.v, b.v")
     corr = "CASE WHEN a.v = b.v THEN 1 ELSE " + safe("corr(a.s, b.s)") + " END"
     out["canonical_correlations"] = c.query(pairs.format(m=f"round({corr}, 6) + 0.0 AS corr"))
+    out["canonical_correlations_frame"] = out["canonical_correlations"]
     out["eval_canonical_corr"] = c.query("SELECT round(avg(corr), 6) AS metric FROM (" + pairs.format(m=f"{corr} AS corr") + ")")
     out["scores"] = c.query("SELECT v::INTEGER view_idx, r::BIGINT row_id, q::INTEGER component, round(s, 6) + 0.0 AS score FROM s")
     out["other_view_score_sum"] = c.query(
@@ -340,6 +410,12 @@ def build() -> dict[str, str]:
     for name in ("fit_two_view", "fit_two_view_gram", "fit_two_view_sparse", "model_roundtrip"):
         out[name] = c.query(LOADINGS)
     out["fit_three_view"] = embedding_fit(THREE, rhos=(0.1, 0.3, 0.2)).query(LOADINGS)
+    for name, parts in (("fit_two_view_converged", TWO), ("fit_three_view_converged", THREE)):
+        c = Ctes()
+        c.add("e", raw_embeddings(parts))
+        centred(c, "e")
+        converged(c, len(parts), 0.1)
+        out[name] = c.query(LOADINGS)
     out["fit_k2"] = embedding_fit(TWO, k=2).query(LOADINGS)
     out["fit_k3_three_view"] = embedding_fit(THREE, k=3).query(LOADINGS)
     c = Ctes()
@@ -373,7 +449,7 @@ def build() -> dict[str, str]:
     predictions(c)
     pred = f"SELECT {CELLS}, round(p, 6) + 0.0 AS prediction FROM pred"
     out["predict_all_views"] = c.query(pred)
-    out["predict_view"] = c.query(pred + " WHERE v = 1")
+    out["predict_view"] = out["transform_outcome"] = c.query(pred + " WHERE v = 1")
     out["transform_frame"] = c.query(
         "SELECT r::BIGINT row_id, f::BIGINT feature_id, round(p, 6) + 0.0 AS prediction FROM pred WHERE v = 0")
     c.add("fc", f"SELECT f, {safe('corr(p, x.x)')} k FROM pred JOIN x USING (v, r, f) WHERE v = 0 GROUP BY f")

@@ -152,7 +152,7 @@ def lowrank_pattern(spark, sf):
 
 
 def lowrank_cells(spark, sf):
-    return low_rank_cells(_vector_subjects(spark, sf), [40, 30], [0.2, 0.4], eps=0.1, seed=1)
+    return rounded(low_rank_cells(_vector_subjects(spark, sf), [40, 30], [0.2, 0.4], eps=0.1, seed=1), "value")
 
 
 # ---------------------------------------------------------------- projections
@@ -479,6 +479,20 @@ def transform_frame(spark, sf):
     return rounded(out.withColumn("feature_id", F.col("feature_id").cast("bigint")), "prediction")
 
 
+def transform_outcome(spark, sf):
+    """One view's prediction only, as the parameter asks."""
+    model, frame = fitted(spark, sf, THREE)
+    out = model.transform(frame, {model.outcomeCol: "v1"})
+    return rounded(out.select(
+        F.lit(1).alias("view_idx"), "row_id", F.posexplode("prediction_v1").alias("feature_id", "prediction")).withColumn(
+        "feature_id", F.col("feature_id").cast("bigint")), "prediction")
+
+
+def canonical_correlations_frame(spark, sf):
+    model, frame = fitted(spark, sf, THREE)
+    return rounded(model.canonical_correlations_frame(frame), "corr")
+
+
 # ---------------------------------------------------------------- model selection
 
 def kfold_assign(spark, sf):
@@ -570,6 +584,8 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predict_all_views": predict_all_views,
     "predict_two_components": predict_two_components,
     "transform_frame": transform_frame,
+    "transform_outcome": transform_outcome,
+    "canonical_correlations_frame": canonical_correlations_frame,
     "kfold_assign": kfold_assign,
     "holdout_split": holdout,
     "cv_grid": cv_grid,

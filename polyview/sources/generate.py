@@ -20,9 +20,10 @@ def weight_pattern(feature_id: Column, width: int, share: float) -> Column:
 
 
 def _gauss(*keys: Column) -> Column:
-    """Standard normal draw that depends only on its keys (Box-Muller on hashes)."""
+    """Standard normal draw that depends only on its keys (Box-Muller on 52 bits of their MD5, as SQL can repeat it)."""
     def uniform(salt: int) -> Column:
-        bits = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 52))
+        text = F.concat_ws(",", *[k.cast("string") for k in keys], F.lit(str(salt)))
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
         return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
     return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
