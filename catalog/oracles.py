@@ -340,6 +340,12 @@ def build() -> dict[str, str]:
     out["cross_covariance_customers"] = c.query(
         "SELECT a.f::BIGINT left_feature, b.f::BIGINT right_feature, round(sum(a.x / 1000 * b.x), 4) + 0.0 AS value "
         "FROM dense a JOIN dense b ON a.r = b.r WHERE a.v = 0 AND b.v = 2 GROUP BY a.f, b.f")
+    c = Ctes()
+    customer_dense(c)
+    centred(c, "dense")
+    out["cross_covariance_centered"] = c.query(
+        "SELECT a.f::BIGINT left_feature, b.f::BIGINT right_feature, round(sum(a.x / 1000 * b.x), 4) + 0.0 AS value "
+        "FROM x a JOIN x b ON a.r = b.r WHERE a.v = 0 AND b.v = 2 GROUP BY a.f, b.f")
     put("matvec", "SELECT r::BIGINT row_id, round(sum(x * m), 6) + 0.0 AS value FROM e JOIN mean USING (v, f) WHERE v = 0 GROUP BY r",
         e, mean)
     put("matvec_t", "SELECT f::BIGINT feature_id, round(sum(x * label), 6) + 0.0 AS value FROM e JOIN embeddings ON vec_id = r "

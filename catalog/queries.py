@@ -227,11 +227,20 @@ def cross_covariance(spark, sf):
 
 
 def cross_covariance_customers(spark, sf):
-    cells, _, _ = customer_dense(spark, sf)
+    # Absent cells add nothing to the product.
+    cells = match_subjects(customer_cells(spark, sf)[0], 3)
     scaled = ops.scale_entries(view(cells, 0), 1000.0)
     return rounded(ops.cross_covariance(scaled, view(cells, 2)), "value", digits=4)
 
 
+def cross_covariance_centered(spark, sf):
+    """Centred over all matched customers, from the stored cells alone."""
+    cells = match_subjects(customer_cells(spark, sf)[0], 3)
+    n = view(cells, 2).select("row_id").distinct().count()
+    scaled = ops.scale_entries(view(cells, 0), 1000.0)
+    return rounded(ops.cross_covariance(scaled, view(cells, 2), subjects=n), "value", digits=4)
+
+
 def matvec(spark, sf):
     cells = view(two(spark, sf), 0)
     return rounded(ops.matvec(cells, means_of(cells), P), "value")
@@ -547,6 +556,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "left_multiply": left_multiply,
     "cross_covariance": cross_covariance,
     "cross_covariance_customers": cross_covariance_customers,
+    "cross_covariance_centered": cross_covariance_centered,
     "matvec": matvec,
     "matvec_t": matvec_t,
     "deflated_matvec": deflated_matvec,

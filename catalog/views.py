@@ -69,6 +69,22 @@ def customer_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[in
     return brand.unionByName(kind).unionByName(priority), widths
 
 
+def brand_cells(spark: SparkSession, sf_dir: str, view: int) -> tuple[DataFrame, int]:
+    """Per customer: revenue by brand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    revenue = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+    )
+    names = part.select(F.col("p_brand").alias("name")).distinct()
+    width = names.count()
+    index = dense_index(names, ["name"], "feature_id", width)
+    return cells_from_facts(revenue, "o_custkey", "p_brand", F.col("revenue"), view, index, width), width
+
+
 def event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
     """Per user: event counts by type and mean value by type, matched by key to
     the revenue by brand of the customer of the same number."""
@@ -80,35 +96,28 @@ def event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]
         F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"))
     counts = cells_from_facts(per_type, "user_id", "event_type", F.col("n"), 0, types, n_types)
     means = cells_from_facts(per_type, "user_id", "event_type", F.col("mean"), 1, types, n_types)
-    spend, widths = customer_cells(spark, sf_dir)
-    brand = spend.filter(F.col("view_idx") == 0).withColumn("view_idx", F.lit(2))
+    brand, n_brands = brand_cells(spark, sf_dir, 2)
     cells = counts.unionByName(means).unionByName(brand)
-    return match_subjects(cells, 3), [n_types, n_types, widths[0]]
+    return match_subjects(cells, 3), [n_types, n_types, n_brands]
 
 
 def document_cells(spark: SparkSession, sf_dir: str, buckets: int = 16384) -> tuple[DataFrame, list[int]]:
     """Per document: hashed word counts and hashed counts of three-character grams.
 
-    Whole texts; both views are counts of md5 buckets.
+    Whole texts, read once; both views are counts of md5 buckets.
     """
     docs = spread(table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.lower("text").alias("text")))
-    words = docs.select(
-        "row_id", F.explode(F.split("text", r"\s+")).alias("token")
-    ).filter(F.col("token") != "")
     # Code points as an array, so that every gram is three lookups whatever its position.
-    chars = docs.select("row_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
-    grams = chars.filter(F.size("c") >= 3).select(
-        "row_id",
-        F.explode(F.transform(
-            F.sequence(F.lit(0), F.size("c") - 3),
-            lambda p: F.concat(F.get("c", p), F.get("c", p + 1), F.get("c", p + 2)))).alias("token"))
-
-    def view(tokens, index):
-        # Counting by bucket leaves one shuffle, after map-side sums per document.
-        bucket = F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("bigint") % buckets
-        return tokens.groupBy("row_id", bucket.alias("feature_id")).agg(
-            F.count("*").cast("double").alias("value")
-        ).select(F.lit(index).cast("int").alias("view_idx"), "row_id", "feature_id", "value")
-
-    return view(words, 0).unionByName(view(grams, 1)), [buckets, buckets]
+    chars = docs.withColumn("c", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    grams = F.when(F.size("c") >= 3, F.transform(
+        F.sequence(F.lit(0), F.size("c") - 3),
+        lambda p: F.concat(F.get("c", p), F.get("c", p + 1), F.get("c", p + 2)))).otherwise(F.array().cast("array<string>"))
+    tokens = chars.select("row_id", F.posexplode(F.array(words, grams)).alias("view_idx", "tokens")).select(
+        "row_id", "view_idx", F.explode("tokens").alias("token"))
+    # Counting by bucket leaves one shuffle, after map-side sums per document.
+    bucket = F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("bigint") % buckets
+    cells = tokens.groupBy("view_idx", "row_id", bucket.alias("feature_id")).agg(
+        F.count("*").cast("double").alias("value"))
+    return cells, [buckets, buckets]

@@ -131,8 +131,25 @@ def left_multiply(matrix: DataFrame, cells: DataFrame, width: int = 32) -> DataF
     return unpanel(product, "feature_id", "out_row", width).select("out_row", "feature_id", "value")
 
 
-def cross_covariance(left: DataFrame, right: DataFrame, width: int = 32) -> DataFrame:
-    """``X_left' X_right`` (not divided by n): ``(left_feature, right_feature, value)``."""
+# The key of a row that no subject has.
+NOBODY = -(1 << 63)
+
+
+def cross_covariance(left: DataFrame, right: DataFrame, width: int = 32, subjects: int | None = None) -> DataFrame:
+    """``X_left' X_right`` (not divided by n): ``(left_feature, right_feature, value)``.
+
+    Absent cells count as 0.  With ``subjects``, how many there are, columns are centred without
+    filling anything in: the product of the stored cells less n times the means' product, which
+    is one more row of either operand, made of the column sums.  Every pair of features that have
+    cells then gets a value.
+    """
+    if subjects is not None:
+        def with_sums(cells, by):
+            sums = cells.groupBy("feature_id").agg((F.sum("value") * F.lit(by)).alias("value"))
+            return cells.select("row_id", "feature_id", "value").unionByName(
+                sums.withColumn("row_id", F.lit(NOBODY).cast("bigint")))
+
+        left, right = with_sums(left, -1.0 / subjects), with_sums(right, 1.0)
     panels = panel(right.select("row_id", F.col("feature_id").alias("right_feature"), "value"),
                    "row_id", "right_feature", width)
     product = panel_product(left.withColumnRenamed("feature_id", "left_feature"),

@@ -8,6 +8,7 @@ from polyview import (
     CanonicalCorrelationEvaluator, MultiViewCCA, MultiViewCCAModel, PredictionEvaluator,
     fold_column, holdout_split,
 )
+from polyview.ml.tuning import kth_key
 from polyview.operators import mean_correlation
 from polyview.plans.common import FitResult
 from polyview.sources import cells_from_arrays
@@ -234,3 +235,18 @@ def test_splits(spark):
     assert sorted(folds.collect()) == sorted(folds.repartition(3).collect())
     train, test = holdout_split(ids, "row_id", 800)
     assert train.count() == 800 and test.agg(F.min("row_id")).first()[0] == 800
+
+
+def test_kth_key(spark):
+    rng = np.random.default_rng(8)
+    for keys in ([5], [-(1 << 63), 0, (1 << 63) - 1], [int(x) for x in rng.choice(10**6, 300, replace=False)],
+                 [int(x) for x in np.unique(rng.integers(-(1 << 62), 1 << 62, 200))]):
+        frame = spark.createDataFrame([(k, 1) for k in keys], "key long, other int")
+        ranked = sorted(keys)
+        for k in {0, len(keys) // 2, len(keys) - 1}:
+            assert kth_key(frame, "key", k, 16) == ranked[k]
+        assert kth_key(frame, "key", len(keys)) is None
+        train, test = holdout_split(frame, "key", len(keys) // 3)
+        assert sorted(r.key for r in train.collect()) == ranked[:len(keys) // 3]
+        assert sorted(r.key for r in test.collect()) == ranked[len(keys) // 3:]
+    assert holdout_split(frame.limit(0), "key", 3)[0].count() == 0
