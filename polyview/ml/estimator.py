@@ -309,6 +309,7 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         self._setDefault(rowCol="row_id", k=1, rhos=[0.1], standardization=True, centering="batch")
         self._result = result
         self._rows: int | None = None
+        self._inverse: dict | None = None
 
     # ------------------------------------------------------------ tables
 
@@ -363,7 +364,7 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         return super().transform(dataset, params)
 
     def _raw_scores(self, dataset: DataFrame) -> DataFrame:
-        """The dataset and ``_r<view>``, the uncentred scores of every component."""
+        """The dataset, ``_z``, the packed loadings, and ``_r<view>``, the uncentred scores of every component."""
         cols, k = self.getInputCols(), self.getK()
         if len(cols) != len(self.widths):
             raise ValueError(f"the model needs {len(self.widths)} views")
@@ -372,8 +373,14 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
         rows = dataset.withColumns(
             {f"_a{i}": whole_array(view_column(dataset, c), w) for i, (c, w) in enumerate(zip(cols, self.widths, strict=True))}
             | {"_z": wide.packed(loadings, views, k, self.widths)})
-        return rows.withColumns({f"_r{i}": wide.dots(F.col(f"_a{i}"), F.col("_z")[f"v{i}"], k) for i in views}).drop(
-            "_z", *[f"_a{i}" for i in views])
+        return rows.withColumns({f"_r{i}": wide.dots(f"_a{i}", f"_z.v{i}", k) for i in views}).drop(
+            *[f"_a{i}" for i in views])
+
+    def _inverses(self) -> dict[tuple[int, int, int], float]:
+        """The pseudo-inverses of the components' products, by (view, component, component); computed once."""
+        if self._inverse is None:
+            self._inverse = {(v, a, b): x for v, a, b, x in scoring.inverse_grams(self.loadings)}
+        return self._inverse
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         cols, d, k = self.getInputCols(), len(self.widths), self.getK()
@@ -391,12 +398,16 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
             mean = {(i, q): F.col("_m")[f"m{i}_{q}"] for i, q in pairs}
         out = out.withColumns({
             f"score_{c}": F.array(*[F.col(f"_r{i}")[q] - mean[i, q] for q in range(k)]) for i, c in enumerate(cols)})
-        weights = scoring.prediction_weights(self.loadings).withColumnRenamed("weight", "value")
-        out = out.withColumns({f"_t{o}": F.array(*[
-            sum((F.col(f"score_{c}")[q] for j, c in enumerate(cols) if j != o), F.lit(0.0)) for q in range(k)]) for o in outcomes}
-            | {"_w": wide.packed(weights, outcomes, k, self.widths)})
-        out = out.withColumns({f"prediction_{cols[o]}": wide.spread_out(F.col(f"_t{o}"), F.col("_w")[f"v{o}"], k) for o in outcomes})
-        return out.drop("_m", "_w", *[f"_r{i}" for i in range(d)], *[f"_t{o}" for o in outcomes])
+        # pinv(Z)' = pinv(Z Z') Z: the sums of the other views' scores meet the small inverse, then the loadings.
+        inverse = self._inverses()
+
+        def times_inverse(o, q):
+            return sum((F.col(f"score_{c}")[p] * F.lit(inverse.get((o, p, q), 0.0))
+                        for j, c in enumerate(cols) if j != o for p in range(k)), F.lit(0.0))
+
+        out = out.withColumns({f"_t{o}": F.array(*[times_inverse(o, q) for q in range(k)]) for o in outcomes})
+        out = out.withColumns({f"prediction_{cols[o]}": wide.spread_out(f"_t{o}", f"_z.v{o}", k) for o in outcomes})
+        return out.drop("_m", "_z", *[f"_r{i}" for i in range(d)], *[f"_t{o}" for o in outcomes])
 
     def canonical_correlations_frame(self, dataset: DataFrame) -> DataFrame:
         """``(component, view_i, view_j, corr)`` on array or vector columns, in one aggregate."""
@@ -462,7 +473,7 @@ class MultiViewCCAModel(Model, _Shared, MLWritable, MLReadable):
 
     def copy(self, extra=None):
         that = super().copy(extra)
-        that._result, that._rows = self._result, self._rows
+        that._result, that._rows, that._inverse = self._result, self._rows, self._inverse
         return that
 
 

@@ -37,9 +37,9 @@ def score_table(
 ) -> DataFrame:
     """All scores of a subject in one row: ``(row_id, s0_0, s0_1, ..)`` (view, component).
 
-    Cells outside the support are dropped before anything moves; sums and subjects
-    are combined map-side and shuffled by subject.  Every subject that has cells, or
-    is listed in ``subjects(row_id)`` if that is given, gets a row.
+    Every subject that has cells, or is listed in ``subjects(row_id)`` if that is given, gets a
+    row.  Loadings with a known small bound are broadcast, so one pass sums up map-side and only
+    a row per subject moves.  Beyond it, cells outside the support are dropped in the join.
     """
     sums = [
         F.coalesce(
@@ -49,7 +49,10 @@ def score_table(
         ).alias(f"s{i}_{q}")
         for i in range(n_views) for q in range(components)
     ]
-    out = cells.join(lookup(loadings, rows), ["view_idx", "feature_id"]).groupBy("row_id").agg(*sums)
+    keys = ["view_idx", "feature_id"]
+    if subjects is None and rows is not None and rows <= BROADCAST_ROWS:
+        return cells.join(F.broadcast(loadings), keys, "left").groupBy("row_id").agg(*sums)
+    out = cells.join(lookup(loadings, rows), keys).groupBy("row_id").agg(*sums)
     names = [c for c in out.columns if c != "row_id"]
     ids = cells.select("row_id").distinct() if subjects is None else subjects.select("row_id")
     return ids.join(out, "row_id", "left").na.fill(0.0, names)
@@ -205,20 +208,19 @@ def other_view_score_sum(scores: DataFrame, n_views: int) -> DataFrame:
     ).select("view_idx", "row_id", "component", "score")
 
 
-def _inverse_grams(loadings: DataFrame) -> list[tuple[int, int, int, float]]:
+def inverse_grams(loadings: DataFrame) -> list[tuple[int, int, int, float]]:
     """Pseudo-inverses of the component-by-component matrices ``Z Z'``, per view.
 
     Spark sums the products over features; what reaches the driver is one
     number per view and pair of components.
     """
-    other = loadings.select(
-        "view_idx", "feature_id", F.col("component").alias("c2"), F.col("loading").alias("l2")
-    )
+    of_feature = loadings.groupBy("view_idx", "feature_id").agg(
+        F.collect_list(F.struct("component", "loading")).alias("z"))
+    products = of_feature.select("view_idx", "z", F.explode("z").alias("a")).select("view_idx", "a", F.explode("z").alias("b"))
     grams: dict[int, dict[tuple[int, int], float]] = {}
     for r in (
-        loadings.join(other, ["view_idx", "feature_id"])
-        .groupBy("view_idx", "component", "c2")
-        .agg(F.sum(F.col("loading") * F.col("l2")).alias("g"))
+        products.groupBy("view_idx", F.col("a.component").alias("component"), F.col("b.component").alias("c2"))
+        .agg(F.sum(F.col("a.loading") * F.col("b.loading")).alias("g"))
         .collect()
     ):
         grams.setdefault(r["view_idx"], {})[r["component"], r["c2"]] = r["g"]
@@ -240,7 +242,7 @@ def prediction_weights(loadings: DataFrame) -> DataFrame:
     Uses ``pinv(Z)' = pinv(Z Z') Z``, so only the small inverse is local.
     """
     inverse = loadings.sparkSession.createDataFrame(
-        _inverse_grams(loadings), "view_idx int, component int, c2 int, inv double"
+        inverse_grams(loadings), "view_idx int, component int, c2 int, inv double"
     )
     z = loadings.withColumnRenamed("component", "c2")
     return (

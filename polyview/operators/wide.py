@@ -37,21 +37,21 @@ def packed(weights: DataFrame, views: Sequence[int], components: int, widths: Se
     return row.select(F.struct(*fields)).scalar()
 
 
-def dots(array: Column, weights: Column, components: int) -> Column:
-    """The array's products with every component's weights; both must be plain columns."""
-    def dot(q):
-        terms = F.zip_with(weights["idx"], weights["w"][q], lambda i, w: F.get(array, i) * w)
-        return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
+def dots(array: str, weights: str, components: int) -> Column:
+    """The array's products with every component's weights; both are names of columns or fields.
 
-    return F.array(*[dot(q) for q in range(components)])
-
-
-def spread_out(sums: Column, weights: Column, components: int) -> Column:
-    """``sums`` (one number per component) times the weights, with 0 outside the support; plain columns."""
-    def times(number, array):
-        return F.transform(array, lambda w: w * number)
-
-    parts = [times(sums[q], weights["w"][q]) for q in range(components)]
-    values = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
-    pieces = F.zip_with(weights["gaps"], values, lambda gap, v: F.concat(F.array_repeat(F.lit(0.0), gap), F.array(v)))
-    return F.concat(F.flatten(pieces), F.array_repeat(F.lit(0.0), weights["tail"]))
+    What a lambda takes from outside may be computed anew for every entry, so the array is
+    repeated (by reference) outside of it.
+    """
+    entries = f"zip_with({weights}.idx, array_repeat({array}, size({weights}.idx)), (i, a) -> get(a, i))"
+    return F.expr("array(" + ", ".join(
+        f"aggregate(zip_with({entries}, {weights}.w[{q}], (x, w) -> x * w), 0D, (total, t) -> total + t)"
+        for q in range(components)) + ")")
+
+
+def spread_out(sums: str, weights: str, components: int) -> Column:
+    """``sums`` (one number per component) times the weights, with 0 outside the support."""
+    values = reduce(lambda a, b: f"zip_with({a}, {b}, (x, y) -> x + y)", [
+        f"zip_with({weights}.w[{q}], array_repeat({sums}[{q}], size({weights}.idx)), (w, x) -> w * x)" for q in range(components)])
+    return F.expr(f"concat(flatten(zip_with({weights}.gaps, {values}, (gap, v) -> concat(array_repeat(0D, gap), array(v)))), "
+                  f"array_repeat(0D, {weights}.tail))")

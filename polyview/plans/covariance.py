@@ -192,6 +192,9 @@ def fit(rows: DataFrame, views: list[Column], widths: list[int], opts: FitOption
         for i, z in enumerate(zs):
             table += [(k, i, int(f), float(z[f])) for f in np.flatnonzero(z)]
             score_means.append((k, i, float(means[starts[i]:starts[i + 1]] @ z)))
+    columns = list(zip(*table, strict=True)) or [()] * 4
+    arrow = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)],
+                     names=["component", "view_idx", "feature_id", "loading"])
     return FitResult(
-        rows.sparkSession.createDataFrame(table, LOADINGS), sigma, score_means, list(widths), courses
+        rows.sparkSession.createDataFrame(arrow, LOADINGS), sigma, score_means, list(widths), courses
     )

@@ -64,14 +64,13 @@ class Placed:
         self.light = self._keep(light.repartition(parts, key))
 
     def _keep(self, placed: DataFrame) -> DataFrame:
-        """The placed cells that are not 0; all are kept, for the check."""
         self.kept.append(placed.persist(KEPT))
-        return placed.filter("value != 0")
+        return placed
 
     def refuse_repeats(self):
-        """Equal cells lie in one partition, so this moves nothing."""
+        """Equal cells lie in one partition, so only a maximum per task moves.  A cell that is 0 repeats nothing."""
         for piece in self.kept:
-            if piece.groupBy("row_id", "feature_id").count().filter("count > 1").head(1):
+            if (piece.groupBy("row_id", "feature_id").count().agg(F.max("count")).first()[0] or 0) > 1:
                 raise ValueError(REPEATED)
 
     def pieces(self):
@@ -556,7 +555,8 @@ def fit(cells: DataFrame, n: int, widths: list[int], opts: FitOptions) -> FitRes
     matrices = []
     try:
         for i, w in enumerate(widths):
-            one = cells.filter(F.col("view_idx") == i).select("row_id", "feature_id", "value")
+            one = cells.filter((F.col("view_idx") == i) & (F.col("value") != 0)).select(
+                "row_id", "feature_id", "value")
             matrices.append(Matrix(one, n, w, opts.centered, parts, counts.get(i, 0)))
         saved, sigmas, courses = solve(matrices, opts)
     finally:
