@@ -71,14 +71,16 @@ class Scanner:
         self.notices = [*base, *fuzzy]
         self.n_base = len(base)
         seeds: dict[str, list[tuple[int, int]]] = {}
-        self.patterns = []
+        self.patterns, self.leftmost = [], []
         for i, notice in enumerate(self.notices):
             text, parts = f" {notice.words} ", notice.edits + 1
             edges = [len(text) * p // parts for p in range(parts + 1)]
             for a, b in zip(edges, edges[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((i, a))
-            self.patterns.append(regex.compile(
-                f"(?b)(?<= )(?:{regex.escape(notice.words, special_only=True, literal_spaces=True)}){{e<={notice.edits}}}(?= )"))
+            words = regex.escape(notice.words, special_only=True, literal_spaces=True)
+            pattern = f"(?<= )(?:{words}){{e<={notice.edits}}}(?= )"
+            self.leftmost.append(regex.compile(pattern))
+            self.patterns.append(regex.compile(f"(?b){pattern}"))
         self.machine = ahocorasick.Automaton()
         for seed, places in seeds.items():
             self.machine.add_word(seed, (len(seed), places))
@@ -89,6 +91,32 @@ class Scanner:
         words = text.encode().translate(REDUCE).split()
         return b" ".join([b"", *words, b""]).decode(), len(words)
 
+    def _places(self, i: int, joined: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """Matches of one notice in a part, in time linear in its length; no two overlap.
+
+        From the leftmost match on, the best one is looked for within one notice's reach behind
+        the last; only fewer edits move it further, so it moves at most ``edits`` times and no
+        match that overlaps what is kept has fewer.  What was passed over is searched again.
+        """
+        reach = len(self.notices[i].words) + self.notices[i].edits + 2
+        found, parts = [], [(low, high)]
+        while parts:
+            a, b = parts.pop()
+            best = self.leftmost[i].search(joined, a, b)
+            if not best:
+                continue
+            a, edits = best.start() - 1, sum(best.fuzzy_counts)
+            while edits:
+                nearer = self.patterns[i].search(joined, best.start() - 1, min(b, best.end() + reach))
+                if not nearer or sum(nearer.fuzzy_counts) >= edits:
+                    break
+                best, edits = nearer, sum(nearer.fuzzy_counts)
+            found.append((i, *best.span(), edits))
+            parts.append((best.end(), b))
+            if best.start() - a > reach - 2 * self.notices[i].edits - 2:
+                parts.append((a, best.start()))
+        return found
+
     def scan(self, joined: str) -> list[Hit]:
         """All hits in reduced text, by notice and place."""
         windows: dict[int, list[list[int]]] = {}
@@ -113,13 +141,7 @@ class Scanner:
         found = [(i, at, at + len(self.notices[i].words), 0) for i, starts in exact.items() for at in starts]
         for i, spans in windows.items():
             for low, high in spans:
-                # The best match of a part comes first; what stands before and behind it is searched again.
-                parts = [(low, high)]
-                while parts:
-                    a, b = parts.pop()
-                    if hit := self.patterns[i].search(joined, a, b):
-                        found.append((i, *hit.span(), sum(hit.fuzzy_counts)))
-                        parts += [(a, hit.start()), (hit.end(), b)]
+                found += self._places(i, joined, low, high)
         spaces = [m.start() for m in re.finditer(" ", joined)]
         hits = []
         for i, start, end, edits in sorted(found):
@@ -137,7 +159,9 @@ def scan_licenses(docs: DataFrame, base: list[Notice] = BASE, fuzzy: list[Notice
     (in words, from 0) of the exact places of base phrases, null where there are none;
     base_labels and labels: distinct, sorted, joined by commas; score: the likeness of the
     best hit, 0 without hits; spans: label, start and length in characters of the original
-    text, edits.  Null and empty texts have no words and no hits.
+    text, edits.  Null and empty texts have no words and no hits; an empty table gives no rows,
+    repeated rows and null ids each keep their row, columns other than the two named are not
+    read.  Time is linear in a text's length, however many edited notices it holds.
     """
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("length", pa.int64()),
                                ("edits", pa.int64())]))

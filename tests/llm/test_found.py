@@ -1,8 +1,9 @@
 """Values and notices that stand next to others."""
 
 import random
+import time
 
-from polyview.llm.licenses import BASE, FUZZY, Notice, Scanner
+from polyview.llm.licenses import BASE, FUZZY, Notice, Scanner, scan_licenses
 from polyview.llm.pii import Pseudonymiser
 
 
@@ -29,3 +30,63 @@ def test_edited_notices_beside_exact_ones():
             at += len(part.split())
         hits = scanner.scan(scanner.reduce(" ".join(parts))[0])
         assert sorted((h.first, h.words, h.edits) for h in hits if not h.base) == want
+
+
+def edit(words, rng, most):
+    """The words with up to so many characters deleted, doubled or changed, and how many."""
+    letters, n = list(words), rng.randrange(most + 1)
+    for at in rng.sample([i for i, c in enumerate(words) if c != " "], n):
+        letters[at] = rng.choice(["", "q", letters[at] + "q"])
+    return "".join(letters), n
+
+
+def test_spans_of_every_notice():
+    """Against every stretch of words, judged by the notice's pattern on that stretch alone."""
+    rng = random.Random(11)
+    for notice in FUZZY:
+        scanner = Scanner([], [notice])
+        for _ in range(12):
+            parts = [rng.choice([edit(notice.words, rng, notice.edits)[0], "some other words", "license", "the"])
+                     for _ in range(rng.randrange(1, 5))]
+            joined, n_words = scanner.reduce(" ".join(parts))
+            words = joined.split()
+            # The fewest edits of each stretch that could match.
+            size, cost = len(notice.words), {}
+            for first in range(n_words):
+                for behind in range(first + 1, n_words + 1):
+                    stretch = " ".join(words[first:behind])
+                    if abs(len(stretch) - size) <= notice.edits:
+                        row = list(range(size + 1))
+                        for i, c in enumerate(stretch, 1):
+                            last, row = row, [i]
+                            for j, d in enumerate(notice.words, 1):
+                                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+                        if row[-1] <= notice.edits:
+                            cost[first, behind - first] = row[-1]
+            hits = sorted((h.first, h.words, h.edits) for h in scanner.scan(joined))
+            assert all(cost[first, count] <= edits for first, count, edits in hits)
+            assert all(a + n <= b for (a, n, _), (b, _, _) in zip(hits, hits[1:], strict=False))
+            # Every stretch that matches meets a hit; the best of all is as good as the best hit.
+            assert all(any(a < f + n and f < a + c for a, c, _ in hits) for f, n in cost)
+            assert min(cost.values(), default=None) == min((e for _, _, e in hits), default=None)
+
+
+def test_many_edited_notices_take_linear_time():
+    scanner = Scanner(BASE, FUZZY)
+
+    def seconds(n):
+        begin = time.perf_counter()
+        assert len(scanner.scan(scanner.reduce("all rihts reserved " * n)[0])) == n
+        return time.perf_counter() - begin
+
+    assert seconds(16_000) < 16 * seconds(2_000) + 1
+
+
+def test_license_rows(spark):
+    many = "all rihts reserved " * 3000
+    docs = spark.createDataFrame([(1, many, "x"), (1, many, "x"), (None, "cc by", None)],
+                                 "doc_id long, text string, n_words string")
+    rows = scan_licenses(docs).collect()
+    assert len(rows) == 3 and sum(r.doc_id is None and r.base_labels == "cc-by" for r in rows) == 1
+    assert all(r.n_words == 9000 and len(r.spans) == 3000 for r in rows if r.doc_id == 1)
+    assert not scan_licenses(docs.limit(0)).collect()
