@@ -5,6 +5,11 @@ the calendar).  A valid value is mapped within all values of its format by a
 keyed permutation, a Feistel network of unequal halves that walks its cycle until
 it is back in range.  Equal values get equal pseudonyms in every document, and
 the key's owner can undo them.
+
+Values written differently stay linked: phones by their country code and national
+number, dates by their day.  For that a date keeps whether its month has two digits
+and whether its day is below 10, up to 12 or above, so every notation of the new day
+is read back as the same day.
 """
 
 from __future__ import annotations
@@ -12,7 +17,9 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -112,15 +119,28 @@ def card(text: str, move: Move) -> str | None:
     return refill(text, digits[0] + middle + str(luhn(digits[0] + middle)))
 
 
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES = set("17")
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 "
+                      "60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+TRUNK = re.compile(r"\(0\)")
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in ONE_DIGIT_CODES else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def phone(text: str, move: Move) -> str | None:
-    """Keeps a country code of one to three digits behind a plus sign."""
-    digits = re.sub(r"\D", "", text)
-    code = re.match(r"\+(\d+)[ .-]", text + " ")
-    kept = code[1] if code and len(code[1]) <= 3 else digits[:1] if text[0] == "+" else ""
-    rest = digits[len(kept):]
+    """Keeps the country code; ``(0)`` is no part of the number, and one without a code is North American."""
+    digits = re.sub(r"\D", "", TRUNK.sub("", text))
+    code = country_code(digits) if text[0] == "+" else "1"
+    rest = digits.removeprefix(code) if text[0] == "+" else digits
     if not 8 <= len(digits) <= 15 or len(rest) < 6:
         return None
-    return refill(text, kept + f"{move(f'phone:{kept}', 10 ** len(rest), int(rest)):0{len(rest)}d}")
+    rest = f"{move(f'phone:{code}', 10 ** len(rest), int(rest)):0{len(rest)}d}"
+    new = iter(code + rest if text[0] == "+" else rest)
+    return "".join(part if TRUNK.fullmatch(part) else "".join(next(new) if c.isdigit() else c for c in part)
+                   for part in re.split(r"(\(0\))", text))
 
 
 def ipv4(text: str, move: Move) -> str | None:
@@ -144,8 +164,27 @@ def ssn(text: str, move: Move) -> str | None:
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
+def day_class(day: dt.date) -> tuple[bool, int]:
+    """What decides how a date's fields can be written and in which order they are read."""
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+@cache
+def days_by_class() -> dict[tuple[bool, int], list[dt.date]]:
+    """All days from 1900 to 2099, ascending within their class."""
+    out: dict[tuple[bool, int], list[dt.date]] = {}
+    for number in range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1):
+        day = dt.date.fromordinal(number)
+        out.setdefault(day_class(day), []).append(day)
+    return out
+
+
 def date(text: str, move: Move) -> str | None:
-    """A day from 1900 to 2099 in year-month-day, day-month-year or else month-day-year order."""
+    """A day from 1900 to 2099 in year-month-day, day-month-year or else month-day-year order.
+
+    Days are permuted within their class.  So a field keeps its width with or without
+    a leading zero, and a day that only month-day order explains gets another such day.
+    """
     fields = re.split(r"\D", text)
     mark = re.search(r"\D", text)[0]
     orders = [(0, 1, 2)] if len(fields[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
@@ -156,8 +195,9 @@ def date(text: str, move: Move) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        size = (LAST_DAY - FIRST_DAY).days + 1
-        new = FIRST_DAY + dt.timedelta(days=move("date", size, (day - FIRST_DAY).days))
+        kind = day_class(day)
+        days = days_by_class()[kind]
+        new = days[move(f"date:{kind[0]:d}{kind[1]}", len(days), bisect_left(days, day))]
         out = list(fields)
         for i, number in zip(order, (new.year, new.month, new.day), strict=True):
             out[i] = str(number).zfill(len(fields[i]))
@@ -200,10 +240,12 @@ def iban_ends(text: str) -> list[int]:
 
 def phone_ends(text: str) -> list[int]:
     """The last end of a group that gives a national number of its country's length, then the whole."""
-    code = re.match(r"\+([0-9]{1,3})[ .-]?(?:\(0\))?", text)
-    lengths = PHONE_LENGTHS.get(code[1], set()) if code else set()
     ends = [m.start() for m in re.finditer(" |$", text)][::-1]
-    return [e for e in ends if len(re.sub(r"\D", "", text[code.end():e] if code else "")) in lengths][:1] + ends[:1]
+    if text[0] != "+":
+        return ends[:1]
+    code = country_code(re.sub(r"\D", "", text))
+    lengths = {len(code) + n for n in PHONE_LENGTHS.get(code, ())}
+    return [e for e in ends if len(re.sub(r"\D", "", TRUNK.sub("", text[:e]))) in lengths][:1] + ends[:1]
 
 
 ENDS = {"iban": iban_ends, "phone": phone_ends}
@@ -272,7 +314,11 @@ class Pseudonymiser:
 
 
 def pseudonymise_column(docs: DataFrame, key: bytes = DEMO_KEY, undo: bool = False, text_col: str = "text") -> DataFrame:
-    """The same frame with the text column replaced; all other columns pass unchanged, nulls stay null."""
+    """The same frame with the text column replaced; all other columns pass unchanged, nulls stay null.
+
+    Texts of any length are taken whole.  An empty table stays empty, repeated rows stay
+    repeated, and further columns may have any names.
+    """
 
     def run(batches):
         worker = Pseudonymiser(key, undo)
@@ -291,7 +337,8 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id",
 
     spans: kind, start and length in characters of the original text.  Null and empty
     texts give an empty text and nothing found.  Equal values get equal pseudonyms in
-    all rows; a text without valid values stays as it is.
+    all rows; a text without valid values stays as it is.  An empty table gives no rows,
+    repeated rows and null ids keep theirs; columns other than the two named are not read.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 

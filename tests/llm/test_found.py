@@ -1,10 +1,12 @@
 """Values and notices that stand next to others."""
 
+import datetime as dt
 import random
+import re
 import time
 
 from polyview.llm.licenses import BASE, FUZZY, Notice, Scanner, scan_licenses
-from polyview.llm.pii import Pseudonymiser
+from polyview.llm.pii import Pseudonymiser, date, phone, pseudonymise, pseudonymise_column
 
 
 def test_values_before_other_words():
@@ -90,3 +92,56 @@ def test_license_rows(spark):
     assert len(rows) == 3 and sum(r.doc_id is None and r.base_labels == "cc-by" for r in rows) == 1
     assert all(r.n_words == 9000 and len(r.spans) == 3000 for r in rows if r.doc_id == 1)
     assert not scan_licenses(docs.limit(0)).collect()
+
+
+def test_dates_of_all_days_in_all_notations():
+    one, undo = Pseudonymiser(b"k"), Pseudonymiser(b"k", undo=True)
+    forms = ["{y}-{m:02d}-{d:02d}", "{y}.{m}.{d}", "{d:02d}/{m:02d}/{y}", "{d}/{m}/{y}", "{m:02d}/{d:02d}/{y}", "{m}-{d}-{y}",
+             "{d:02d}/{m}/{y}"]
+    seen, first = [set() for _ in forms], dt.date(1900, 1, 1)
+    rng = random.Random(2)
+    days = [first + dt.timedelta(days=n) for n in range(2000)]
+    days += [first + dt.timedelta(days=rng.randrange(73049)) for _ in range(1500)]
+    days = sorted({*days, dt.date(2099, 12, 31), dt.date(2000, 2, 29)})
+    for day in days:
+        new_days = set()
+        for form, got in zip(forms, seen, strict=True):
+            text = form.format(y=day.year, m=day.month, d=day.day)
+            new = date(text, one.move)
+            assert new != text and date(new, undo.move) == text and new not in got | {None}
+            # Month first is read as day first where both are days; else all notations are linked.
+            if form.index("{y") == 0 or form.index("{d") == 0 or day.day > 12:
+                a, b, c = map(int, re.split(r"\D", new))
+                new_days.add((a, b, c) if a > 31 else (c, b, a) if form.index("{d") == 0 else (c, a, b))
+            got.add(new)
+        assert len(new_days) == 1
+
+
+def test_phones_in_several_notations_are_linked():
+    one, undo = Pseudonymiser(b"k"), Pseudonymiser(b"k", undo=True)
+    groups = [["+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+44-20-7946-0958"],
+              ["(415) 555-2671", "+1 415 555 2671", "415-555-2671", "+1 (415) 555-2671", "+14155552671"],
+              ["+351 212 345 678", "+351212345678"], ["+49 30 901820", "+4930901820"]]
+    for group in groups:
+        numbers = set()
+        for text in group:
+            new, found = one.replace(f"call {text} now")
+            assert [k for _, _, k, _ in found] == ["phone"] and undo.replace(new)[0] == f"call {text} now"
+            plain = phone(text, one.move)
+            assert new == f"call {plain} now" and re.sub(r"\d", "0", plain) == re.sub(r"\d", "0", text)
+            digits = re.sub(r"\D", "", plain.replace("(0)", ""))
+            numbers.add(digits if text[0] == "+" else "1" + digits)
+        assert len(numbers) == 1
+
+
+def test_pseudonym_columns_that_clash_and_long_texts(spark):
+    text = "a.b1@c.org " * 50_000
+    docs = spark.createDataFrame([(1, text, "k", 5), (1, text, "k", 5), (None, None, None, None)],
+                                 "doc_id long, text string, kinds string, spans int")
+    rows = pseudonymise(docs).collect()
+    assert sorted(r.n_found for r in rows) == [0, 50_000, 50_000] and {r.kinds for r in rows} == {"", "email"}
+    assert not pseudonymise(docs.limit(0)).collect()
+    new = pseudonymise_column(docs)
+    assert new.columns == docs.columns and not pseudonymise_column(docs.limit(0)).collect()
+    assert {(r.kinds, r.spans, r.text is None) for r in new.collect()} == {("k", 5, False), (None, None, True)}
+    assert pseudonymise_column(new, undo=True).filter("text is not null").distinct().collect()[0].text == text
