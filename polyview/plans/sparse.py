@@ -183,21 +183,30 @@ class Side:
             *[F.coalesce(f"z{q}", F.lit(0.0)).alias(f"z{q}") for q in range(len(priors))],
         )
 
-    def scalars(self, vector: DataFrame) -> tuple[float, float, np.ndarray, int]:
-        """``|v|^2``, the mean of ``X v``, ``Z v``, and the number of entries."""
-        k = len(self.priors)
-        row = (
-            vector.join(self.table, "feature_id", "left")
-            .agg(
-                F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("square"),
-                F.coalesce(F.sum(F.col("value") * F.col("colsum")), F.lit(0.0)).alias("shift"),
-                *[F.coalesce(F.sum(F.col("value") * F.col(f"z{q}")), F.lit(0.0)).alias(f"z{q}")
-                  for q in range(k)],
-                F.count("*").alias("n"),
-            ).first()
-        )
-        return (row["square"], row["shift"] / self.matrix.n,
-                np.array([row[f"z{q}"] for q in range(k)]), row["n"])
+    def written(self, vector: DataFrame):
+        """The vector written, and its scalars: ``|v|^2``, the mean of ``X v``, ``Z v``, and the number
+        of entries.  Their factors are written beside the entries, so the sums need no join."""
+        names = [f"z{q}" for q in range(len(self.priors))]
+        kept = cut_lineage(
+            vector.join(self.table.select("feature_id", "colsum", *names), "feature_id", "left"))
+        value = F.col("value")
+        row = kept.agg(
+            F.coalesce(F.sum(value * value), F.lit(0.0)).alias("square"),
+            F.coalesce(F.sum(value * F.col("colsum")), F.lit(0.0)).alias("shift"),
+            *[F.coalesce(F.sum(value * F.col(z)), F.lit(0.0)).alias(z) for z in names],
+            F.count("*").alias("n"),
+        ).first()
+        return (kept.select("feature_id", "value"),
+                (row["square"], row["shift"] / self.matrix.n, np.array([row[z] for z in names]), row["n"]))
+
+    def unit(self, vector: DataFrame):
+        """The normalised vector, its scalars and the norm that it had."""
+        kept, (square, shift, dots, count) = self.written(vector)
+        norm = float(np.sqrt(square))
+        if norm == 0:
+            return kept, (0.0, shift, dots, count), norm
+        scaled = kept.withColumn("value", F.col("value") / F.lit(norm))
+        return scaled, (1.0, shift / norm, dots / norm, count), norm
 
     def corrections(self, shift: float, weights: np.ndarray) -> list[DataFrame]:
         """Rows for ``- colsum * shift - sum_q weights_q z_q`` on this view's columns."""
@@ -309,9 +318,10 @@ def column_bounds(left: Side, right: Side, sigma: np.ndarray) -> DataFrame:
 
 
 def _columns_of(
-    left: Side, right: Side, sigma: np.ndarray, features: list[int], slots: int = SLOTS
+    left: Side, right: Side, sigma: np.ndarray, known: dict, slots: int = SLOTS
 ) -> DataFrame:
-    """The listed columns of the deflated product in slots: ``(feature_id, chunk, c0 ..)``."""
+    """The columns listed in ``known`` of the deflated product in slots: ``(feature_id, chunk, c0 ..)``."""
+    features = list(known)
     spark = right.table.sparkSession
     names = _names(slots)
     listed = spark.createDataFrame(
@@ -331,7 +341,6 @@ def _columns_of(
         few = panels.join(placed.heavy_keys, "row_id", "left_semi")
         parts.append(placed.heavy.join(F.broadcast(few), "row_id").groupBy("feature_id", "chunk").agg(*sums))
     # Centring and deflation, as rows of the same shape.
-    known = {r["feature_id"]: r for r in right.table.join(picked, "feature_id").collect()}
     weights = {"colsum": [known[f]["colsum"] / left.matrix.n for f in features]}
     for q, s in enumerate(sigma):
         weights[f"z{q}"] = [float(s) * known[f][f"z{q}"] for f in features]
@@ -352,9 +361,9 @@ def _columns_of(
     return both.groupBy("feature_id", "chunk").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def _norms(left: Side, right: Side, sigma: np.ndarray, features: list[int]) -> dict[int, float]:
-    names = _names(SLOTS)
-    rows = _columns_of(left, right, sigma, features).groupBy("chunk").agg(
+def _norms(left: Side, right: Side, sigma: np.ndarray, known: dict) -> dict[int, float]:
+    names, features = _names(SLOTS), list(known)
+    rows = _columns_of(left, right, sigma, known).groupBy("chunk").agg(
         *[F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)).alias(c) for c in names]
     ).collect()
     out = {f: 0.0 for f in features}
@@ -384,12 +393,12 @@ def strongest_column(left: Side, right: Side, sigma: np.ndarray, batch: int = 4
     """
     top, best, evaluated = 0.0, None, 0
     if right.matrix.width <= direct:
-        features = sorted(r["feature_id"] for r in right.matrix.columns.select("feature_id").collect())
-        if features:
-            top, best = _better(top, best, _norms(left, right, sigma, features))
-            evaluated = len(features)
+        known = {r["feature_id"]: r for r in sorted(right.table.collect())}
+        if known:
+            top, best = _better(top, best, _norms(left, right, sigma, known))
+            evaluated = len(known)
     else:
-        bounds, cursor = column_bounds(left, right, sigma), None
+        bounds, cursor, known = column_bounds(left, right, sigma), None, {}
         while True:
             rest = bounds.filter(F.col("bound") >= top * (1 - TIE))
             if cursor is not None:
@@ -399,7 +408,13 @@ def strongest_column(left: Side, right: Side, sigma: np.ndarray, batch: int = 4
             rows = rest.orderBy(F.desc("bound"), "feature_id").limit(batch).collect()
             if not rows:
                 break
-            top, best = _better(top, best, _norms(left, right, sigma, [r["feature_id"] for r in rows]))
+            listed = right.table.sparkSession.createDataFrame([(r["feature_id"],) for r in rows], "feature_id bigint")
+            scalars = {r["feature_id"]: r for r in right.table.join(F.broadcast(listed), "feature_id").collect()}
+            batch_known = {r["feature_id"]: scalars[r["feature_id"]] for r in rows}
+            before = best
+            top, best = _better(top, best, _norms(left, right, sigma, batch_known))
+            if best != before:
+                known = {best: batch_known[best]}
             cursor = (rows[-1]["bound"], rows[-1]["feature_id"])
             evaluated += len(rows)
             if len(rows) < batch:
@@ -407,40 +422,26 @@ def strongest_column(left: Side, right: Side, sigma: np.ndarray, batch: int = 4
             batch = min(batch * 4, 64 * SLOTS)
     if top == 0:
         return None
-    column = _columns_of(left, right, sigma, [best], 1).select(
+    column = _columns_of(left, right, sigma, {best: known[best]}, 1).select(
         "feature_id", F.col("c0").alias("value")).filter(F.coalesce("value", F.lit(0.0)) != 0)
-    return top, best, cut_lineage(column), evaluated
+    return top, best, column, evaluated
 
 
 # ---------------------------------------------------------------- fitting
 
-def _scaled(vector: DataFrame, by: float) -> DataFrame:
-    return vector.withColumn("value", F.col("value") / F.lit(float(by)))
-
-
-def _unit(vector: DataFrame, side: Side):
-    """Normalise a written vector; returns it with its scalars."""
-    square, shift, dots, count = side.scalars(vector)
-    norm = float(np.sqrt(square))
-    if norm == 0:
-        return vector, (0.0, shift, dots, count), norm
-    return _scaled(vector, norm), (1.0, shift / norm, dots / norm, count), norm
-
-
 def _power_pair(left: Side, right: Side, sigma: np.ndarray, rho: float, opts: FitOptions):
     found = strongest_column(left, right, sigma)
     if found is None:
         return None
     top, _, column, _ = found
-    x, facts, _ = _unit(column, left)
+    x, facts, _ = left.unit(column)
     bound = rho * top
     course = Progress(opts)
     while not course.reason:
         raw = times(left, right, x, facts, sigma)
-        z = cut_lineage(
+        z, z_facts = right.written(
             raw.withColumn("value", soft_threshold(F.col("value"), bound)).filter(F.col("value") != 0))
-        z_facts = right.scalars(z)
-        x, facts, _ = _unit(cut_lineage(times(right, left, z, z_facts, sigma)), left)
+        x, facts, _ = left.unit(times(right, left, z, z_facts, sigma))
         course.step(z_facts[0])
     return cut_lineage(times(left, right, x, facts, sigma)), bound, course
 
@@ -479,10 +480,8 @@ def solve(matrices: list[Matrix], opts: FitOptions):
             if terms is None:
                 continue
             total = terms.groupBy("feature_id").agg(F.sum("value").alias("value"))
-            z = cut_lineage(
-                total.withColumn("value", soft_threshold(F.col("value"), bound))
-                .filter(F.col("value") != 0))
-            z, facts, norm = _unit(z, sides[i])
+            z, facts, norm = sides[i].unit(
+                total.withColumn("value", soft_threshold(F.col("value"), bound)).filter(F.col("value") != 0))
             if norm == 0:
                 continue
             starts[i] = (z, facts)
@@ -514,11 +513,11 @@ def solve(matrices: list[Matrix], opts: FitOptions):
                 for j in range(i + 1, d):
                     if small[j] is None:
                         continue
-                    v = cut_lineage(times(me, small[j], z, facts, weights(i, j)))
-                    part = times(small[j], me, v, small[j].scalars(v), weights(i, j))
+                    v, v_facts = small[j].written(times(me, small[j], z, facts, weights(i, j)))
+                    part = times(small[j], me, v, v_facts, weights(i, j))
                     t = part if t is None else t.unionByName(part)
                 t = empty if t is None else t.groupBy("feature_id").agg(F.sum("value").alias("value"))
-                z, facts, norm = _unit(cut_lineage(t), me)
+                z, facts, norm = me.unit(t)
                 course.step(-2.0 * norm)
             final[i] = (z, facts)
 
