@@ -8,6 +8,7 @@ has room, because every further bin is a further sequence.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,17 +29,33 @@ REMEMBERED = 500_000
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 # Room for the sequence numbers of one shard.
 SHARD_STEP = 1 << 32
+# The normaliser and the splitter under which words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits as ``WordTokenizer`` needs it,
+    merges without chance, and adds only tokens that hold ``<|``."""
+    return (spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+            and all("<|" in token["content"] for token in spec["added_tokens"]))
 
 
 class WordTokenizer:
     """Ids of whole texts from those of their words.
 
-    The tokenizer drops white space and never merges across it, and it splits a
-    Latin letter from punctuation that follows, so words may be encoded one by
+    A tokenizer that drops white space, never merges across it and splits a
+    Latin letter from punctuation that follows may encode words one by
     one.  It lower-cases, so words are lower-cased first and found again more
     often.  A word of plain letters needs no normalising or splitting and goes
     straight to the tokenizer's model; others take the whole tokenizer.  Texts
-    that may hold a special token are encoded whole.
+    that may hold a special token are encoded whole, and so are all texts if the
+    file's normaliser, splitter or added tokens are others.
     """
 
     def __init__(self, spec: bytes, remembered: int = REMEMBERED):
@@ -46,6 +63,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_words = splits_at_spaces(json.loads(spec))
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
         self.remembered = remembered
@@ -73,7 +93,12 @@ class WordTokenizer:
                 self.ends.append(len(self.pool))
         return [self.places[w] for w in words]
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.by_words:
+            return [self._whole(text) for text in texts.to_pylist()]
         special = pc.match_substring(texts, "<|").to_pylist()
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-zß-öø-ÿ])([.,!$%&*#;:?])", r"\1 \2")
         words = pc.ascii_split_whitespace(plain)
@@ -86,8 +111,7 @@ class WordTokenizer:
         stops = np.cumsum(each)
         flat = pool[np.repeat(ends[places] - (stops - each), each) + np.arange(each.sum())]
         bounds = np.concatenate([[0], stops])[offsets - offsets[0]]
-        return [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-                if special[i] else flat[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
+        return [self._whole(texts[i].as_py()) if special[i] else flat[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY,
@@ -176,6 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
                    per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack; one row per piece (see ``token_pieces`` and ``pack``).
 
-    Repeated rows are packed as often as they occur.
+    Repeated rows are packed as often as they occur; an empty table gives an empty result.
+    ``tokenizer_path`` may name any file of the tokenizers library.
     """
     return pack(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), capacity, per_shard)

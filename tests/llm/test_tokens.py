@@ -1,6 +1,7 @@
 """Piece encoding, token counts and packing against the libraries themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -12,7 +13,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
-from polyview.llm.packing import WordTokenizer, pack, pack_documents, sum_of_squares
+from polyview.llm.packing import WordTokenizer, pack, pack_documents, splits_at_spaces, sum_of_squares
 from polyview.llm.pieces import PieceEncoder, encode_pieces, round_trip
 from polyview.llm.token_counts import ChunkedCounter, token_counts
 
@@ -103,6 +104,30 @@ def test_word_ids_equal_the_library():
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_another_tokenizer_takes_whole_texts(make):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        tokenizer = WordTokenizer(file.read())
+    many = texts(200, 40, 7)
+    for text, ids in zip(many, tokenizer.ids(pa.array(many)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    with open(WORDS, "rb") as file:
+        spec = json.loads(file.read())
+    assert splits_at_spaces(spec) and not tokenizer.by_words
+    cased = {**spec, "normalizer": {"type": "NFC"}}
+    added = {**spec, "added_tokens": [*spec["added_tokens"], {**spec["added_tokens"][0], "id": 49408, "content": "the"}]}
+    for other in (cased, added):
+        assert not splits_at_spaces(other)
+        raw = json.dumps(other)
+        ids = WordTokenizer(raw.encode()).ids(pa.array(["The other's  THE"]))[0].tolist()
+        assert ids == Tokenizer.from_str(raw).encode("The other's  THE", add_special_tokens=False).ids
+    pairs = [(i, t) for i, t in enumerate(many[:40])]
+    rows = pack_documents(make(pairs), path, capacity=64).collect()
+    assert sum(r.length for r in rows) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in pairs)
+    assert pack_documents(make(pairs).limit(0), WORDS).collect() == []
+
+
 def squares(bins, lengths, capacity):
     gaps = {}
     for b, size in zip(bins, lengths, strict=True):
