@@ -249,6 +249,8 @@ def build() -> dict[str, str]:
     # sources and reshapes
     put("view_cells_from_array", cells_out("e"), e)
     put("matrix_text_roundtrip", cells_out("e"), e)
+    put("matrix_text_lines", cells_out("lines"), e,
+        ("lines", "SELECT v, dense_rank() OVER (ORDER BY r) - 1 r, f, x FROM e WHERE v = 1"))
     out["view_cells_from_columns"] = (
         "SELECT 0::INTEGER view_idx, p_partkey::BIGINT row_id, 0::BIGINT feature_id, p_size::DOUBLE AS value FROM part "
         "UNION ALL SELECT 1, p_partkey, 0, p_retailprice FROM part")

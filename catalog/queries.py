@@ -113,6 +113,14 @@ def matrix_text_roundtrip(spark, sf):
     return rounded(read[0].unionByName(read[1]), "value")
 
 
+def matrix_text_lines(spark, sf):
+    """Write a view in order without keys, as several files, and read it back; lines are numbered through all files."""
+    frame, path = embedding_frame(spark, sf, TWO), f"{ensure_checkpoint_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    frame.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").select(
+        F.array_join(F.col("v1").cast("array<string>"), " ")).write.text(path)
+    return rounded(read_matrix_text(spark, path, 1), "value")
+
+
 def subject_index(spark, sf):
     ids = table(spark, sf, "orders").select(F.col("o_custkey").alias("row_id")).distinct()
     return dense_index(ids, ["row_id"], "row_idx")
@@ -535,6 +543,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "view_cells_from_documents": view_cells_from_documents,
     "fill_missing_cells": fill_missing_cells,
     "matrix_text_roundtrip": matrix_text_roundtrip,
+    "matrix_text_lines": matrix_text_lines,
     "subject_index": subject_index,
     "feature_vectors": feature_vector_chunks,
     "matrix_rows": matrix_row_chunks,

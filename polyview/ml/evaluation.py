@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions.scalar import safe_corr
 from polyview.ml.estimator import view_column
+from polyview.operators.wide import paired_correlations
 
 
 class PredictionEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
@@ -41,15 +42,8 @@ class PredictionEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritabl
         mark = "prediction_"
         name = self.getOutcomeCol() if self.isSet("outcomeCol") else next(
             c.removeprefix(mark) for c in dataset.columns if c.startswith(mark) and c.removeprefix(mark) in dataset.columns)
-        pairs = F.arrays_zip(
-            view_column(dataset, name).cast("array<double>").alias("actual"),
-            F.col(f"prediction_{name}").alias("predicted"))
-        return (
-            dataset.select(F.posexplode(pairs).alias("feature_id", "p"))
-            .select("feature_id", F.col("p.actual").alias("a"), F.col("p.predicted").alias("b"))
-            .groupBy("feature_id").agg(safe_corr(F.col("b"), F.col("a")).alias("corr"))
-            .agg(F.avg("corr").alias("metric"))
-        )
+        pairs = dataset.select(view_column(dataset, name).cast("array<double>"), F.col(f"prediction_{name}").cast("array<double>"))
+        return paired_correlations(pairs).agg((F.sum("total") / F.sum("features")).alias("metric"))
 
     def _evaluate(self, dataset: DataFrame) -> float:
         return float(self.metric(dataset).first()[0])

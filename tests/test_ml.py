@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from polyview import (
     fold_column, holdout_split,
 )
 from polyview.ml.tuning import kth_key
-from polyview.operators import mean_correlation
+from polyview.operators import mean_correlation, wide
 from polyview.plans.common import FitResult
 from polyview.sources import cells_from_arrays
 from test_fit import correlated, dense, frame
@@ -140,6 +141,24 @@ def test_training_centring(spark, fitted, data):
     assert np.allclose([r["score"] for r in long.collect()], scores[1][0])
 
 
+def test_correlations_of_arrays_from_moments(spark):
+    """Several chunks of features and tasks; large means, constant columns, rows without an array."""
+    rng, n, p = np.random.default_rng(8), 90, 2 * wide.CHUNK + 5
+    a = rng.normal(size=(n, p)) + 1e7 * (np.arange(p) % 3 == 0)
+    b = a * rng.normal(size=p) + rng.normal(size=(n, p))
+    a[:, 4], b[:, 7] = 0.1, 0.0
+    rows = [(x, y) for x, y in zip(a.tolist(), b.tolist())] + [(None, b[0].tolist()), (a[0].tolist(), None)]
+    frame = spark.createDataFrame(rows, "x array<double>, prediction_x array<double>").repartition(7)
+    want = np.mean([safe(b[:, f], a[:, f]) if f not in (4, 7) else 0.0 for f in range(p)])
+    judge = PredictionEvaluator(outcomeCol="x")
+    assert judge.evaluate(frame) == pytest.approx(want, rel=1e-7)
+    assert "Generate" not in judge.metric(frame)._jdf.queryExecution().executedPlan().toString()
+    assert judge.metric(frame.limit(0)).first()[0] is None
+    for bad in ([(a[0].tolist(), b[0].tolist()[1:])], [([None, 1.0], [1.0, 2.0])]):
+        with pytest.raises(PySparkException):
+            judge.evaluate(spark.createDataFrame(bad, frame.schema))
+
+
 def test_correlations_and_evaluators(fitted, data):
     model, df = fitted
     scores, predictions = expected(data, dense(model))

@@ -204,6 +204,26 @@ def test_text_matrix(spark, tmp_path, x):
     assert rows == set(range(0, 60, 5))
 
 
+def test_lines_of_many_files_and_splits(spark, tmp_path):
+    """Files of several splits, some empty, with blank lines; packed into tasks together."""
+    rng, want = np.random.default_rng(5), []
+    for name in range(7):
+        rows = rng.integers(0, 100, (0 if name == 3 else 40 * name + 1, 3))
+        want += rows.tolist()
+        (tmp_path / f"part-{name}").write_text("".join(
+            ("\n  \n" if i % 9 == 4 else "") + "  ".join(map(str, r)) + " \n" for i, r in enumerate(rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = array(read_matrix_text(spark, str(tmp_path), 0), "row_id", "feature_id", (len(want), 3))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got.tolist() == want
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty").write_text("\n \n")
+    assert read_matrix_text(spark, str(tmp_path / "none"), 0).collect() == []
+
+
 def test_low_rank_data(spark):
     ids = spark.range(30).select(F.col("id").alias("row_id"))
     cells = low_rank_cells(ids, [20, 10], [0.2, 0.4], eps=0.1, seed=3)
