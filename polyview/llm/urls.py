@@ -7,6 +7,8 @@ whatever the size of the filtered table; scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZES = (3, 4, 5)
-FEATURES = 1 << 14
+FEATURES = 1 << 18
 # A training table may have so many rows.
 MOST_LABELLED = 100_000
 
@@ -43,91 +45,79 @@ RULES = [
     Rule("block", "net", "/fr/"),
 ]
 
-# A small labelled table of invented URLs: 1 is unwanted.
-WANTED = """
-news.riverside-post.org/local/2021/council-meeting
-www.openlibrary-guide.org/catalogue/history/12
-blog.gardenersnotes.net/soil/compost-basics
-docs.mathhandbook.org/en/algebra/groups.html
-www.cityhospital.org/departments/cardiology
-forum.woodworkers.net/threads/dovetail-joints/881
-www.example.org/en/442
-recipes.kitchenstories.net/soup/lentil
-www.universitypress.org/journals/physics/41
-wiki.birdwatchers.org/species/heron
-museum.coastaltown.org/exhibits/ships
-m.weatherstation.net/de/forecast/77
-archive.poetryreview.org/issues/spring
-blog.thoughtful-coder.net/en/python-typing
-www.schooldistrict.org/calendar/autumn
-help.mapservice.net/fr/route/318.html
-science.dailyreport.org/es/astronomy/comet
-www.trainjourneys.net/timetable/north
-data.statisticsoffice.org/tables/population
-en.localhistory.org/castles/norman
-blog.mountainhikes.net/trails/ridge/93/
-www.musicteachers.org/lessons/violin
-news.example.net/de/120
-m.farmersmarket.org/en/vegetables/25
-www.lawreview.org/articles/contract-theory
-tools.unitconverter.net/length/metres
-www.languagelearner.org/grammar/verbs
-blog.astronomyclub.net/telescope/mirror
-www.publicradio.org/shows/morning
-store.bookseller.net/fiction/novels
-tiondre.example.net/de/120
-m.shtion.example.org/es/44.html
-blog.therat.example.net/en/815/
-www.onthe.example.org/fr/9
-thesh.example.net/en/402
-blog.erand.example.com/de/77.html
-www.ndtion.example.net/de/31
-m.thares.example.org/en/650/
-anther.example.org/es/218
-www.hething.example.net/en/5
-estion.example.org/de/903/
-blog.oring.example.com/es/61
-""".split()
-UNWANTED = """
-casino-royal-win.net/bonus/spin
-www.free-casino-slots.org/jackpot
-online-casino.win-big.net/en/bet
-best-bets-free.org/odds/today
-www.sports-bets.net/free-bets/now
-free-bets-tips.org/en/77
-cheap-pills-online.org/order
-www.pills-cheap.net/viagra/buy
-buy-cheap-meds.org/pills/discount
-cheap-pharmacy.net/en/pills/12
-spam-links.org/seo/backlinks
-www.link-farm.net/spam/exchange
-spam-farm-seo.net/buy/traffic
-content-farm.org/spam/page/9
-adult-videos.net/xxx/watch
-www.xxx-adult.org/cams/live
-adult-x-chat.net/hot/girls
-adult-dating.org/en/x/3
-ads-tracker.net/click/redirect
-track.ads-server.org/pixel/click
-www.ads-track.net/banner/77
-click-track-ads.org/en/ad/13
-win-free-prize.net/claim/now
-free-win-lottery.org/jackpot/claim
-payday-loans-fast.net/apply/cash
-quick-cash-loans.org/now
-replica-watches-cheap.net/buy
-cheap-designer-bags.org/replica
-hot-singles-adult.net/meet
-crypto-win-fast.org/double/bitcoin
-spam-hub.example.net/en/31
-casino-club.example.org/de/9
-cheap-meds.example.com/fr/12.html
-adult-zone.example.org/es/7
-ads-serve.example.net/en/303/
-free-spins.example.org/de/58
-www.track-click.example.net/es/440
-pills-shop.example.org/en/86
+# The labelled table: hosts and paths put together from these words.
+THEMES = {
+    "gambling": "casino poker bets betting jackpot slots roulette bingo lottery wager odds spins",
+    "medicine": "pills viagra meds pharmacy cialis tablets steroid dosage",
+    "adult": "adult xxx porn sex cams escort nude hookup erotic fetish",
+    "spam": "spam backlinks linkfarm seo clickbait doorway bulkmail traffic",
+    "tracking": "ads adserver tracker pixel popup banner click redirect",
+    "money": "payday loans cash forex bitcoin crypto profit riches",
+    "fakes": "replica counterfeit knockoff fakes cracked keygen warez torrent",
+    "fraud": "phishing malware scam hacked prize winner giveaway claim",
+}
+LURES = "free cheap best hot win buy fast online top vip royal big x".split()
+PLACES = "hub club zone shop farm world serve deals city land spot link bay".split()
+SUBJECTS = """
+garden history library kitchen weather museum science railway harbour village school hospital algebra physics music
+poetry grammar castle river mountain bicycle pottery theatre journal archive council market orchard astronomy geology
+botany chess recipe novel painter violin carpenter teacher student research atlas bridge forest island lantern meadow
 """.split()
+KINDS = "news guide notes review forum society daily online data tools world shop city club hub land link spot".split()
+SYLLABLES = "an ba co den er fi gra hul in jo kel lo mar nes or pra quin ron sta th ul ver wen yor zel ti on".split()
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SECTIONS = "articles page view post item topic product about search category".split()
+FRONTS = ["", "", "www.", "m.", "blog.", "shop."]
+ENDS = ["com", "net", "org", "info", "example.com", "example.net", "example.org"]
+TONGUES = "en de fr es it".split()
+PER_WORD = 20
+
+
+def _picker(*key) -> Callable[[Sequence[str]], str]:
+    """Picks entries of lists, the same ones for the same key."""
+    digest = int.from_bytes(hashlib.sha256("/".join(map(str, key)).encode()).digest(), "big")
+
+    def pick(options: Sequence[str]) -> str:
+        nonlocal digest
+        digest, place = divmod(digest, len(options))
+        return options[place]
+
+    return pick
+
+
+def _url(pick, host: str) -> str:
+    """A URL of the host; paths say nothing about the label."""
+    number = str(int(pick(range(1, 10000))))
+    path = pick([f"/{pick(TONGUES)}/{number}", f"/{pick(SECTIONS)}/{number}", f"/{pick(TONGUES)}/{pick(SECTIONS)}"])
+    return f"{pick(['http', 'https'])}://{pick(FRONTS)}{host}.{pick(ENDS)}{path}{pick(['', '', '/', '.html'])}"
+
+
+def labelled_table() -> list[tuple[str, float, bool]]:
+    """(url, label, held_out): 1 is unwanted; one host in five is held out, by its hash, whatever stands around it.
+
+    Unwanted hosts hold a word of a theme beside a lure, a place or another word of the theme.  Wanted ones are
+    made of subjects and kinds, or are names without a meaning, of syllables or of any letters.
+    """
+    rows = []
+    for theme in THEMES.values():
+        words = theme.split()
+        for word in words:
+            for n in range(PER_WORD):
+                pick = _picker("unwanted", word, n)
+                pair = [word, pick(pick([LURES, PLACES, words]))]
+                rows.append((pick([pair, pair[::-1]]), 1.0, pick))
+    for subject in SUBJECTS:
+        for n in range(PER_WORD):
+            pick = _picker("wanted", subject, n)
+            pair = [subject, pick(pick([KINDS, SUBJECTS]))]
+            rows.append((pick([pair, pair[::-1]]), 0.0, pick))
+    for n in range(PER_WORD * len(SUBJECTS)):
+        pick = _picker("syllables", n)
+        rows.append((["".join(pick(SYLLABLES) for _ in range(pick(range(2, 5))))], 0.0, pick))
+        pick = _picker("letters", n)
+        rows.append((["".join(pick(LETTERS) for _ in range(pick(range(4, 13))))], 0.0, pick))
+    hosts = [(pick(["-", "-", ""]).join(parts), label, pick) for parts, label, pick in rows]
+    return [(_url(pick, host), label, _picker("part", host)(range(5)) == 0) for host, label, pick in hosts]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -153,9 +143,10 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*(cut("h", host, n) for n in SIZES), *(cut("p", path, n) for n in SIZES))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The rows of the labelled table to train on, or those held out: url, label."""
     return spark.createDataFrame(
-        [(f"http://{u}", 0.0) for u in WANTED] + [(f"http://{u}", 1.0) for u in UNWANTED], "url string, label double")
+        [(url, label) for url, label, out in labelled_table() if out == held_out], "url string, label double")
 
 
 def with_grams(rows: DataFrame) -> DataFrame:

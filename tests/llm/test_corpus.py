@@ -8,9 +8,11 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from polyview.llm import quality
+from polyview.llm import quality, urls
 from polyview.llm.chat import DEFAULT, Formatter, Reader, format_conversations, read_back
 from polyview.llm.components import components
 from polyview.llm.licenses import BASE, FUZZY, LOWER, WORD, Scanner, scan_licenses
@@ -328,11 +330,11 @@ def test_urls(spark):
     held_out = [("http://casino-jackpots.example.org/de/4", "block"), ("http://cheap-pills-shop.org/order", "block"),
                 ("http://adult-cams.example.net/de/8", "block"), ("http://www.historymuseum.org/exhibits/roman", "allow"),
                 ("http://blog.erinthe.example.org/de/14", "allow"), ("http://docs.algebra.net/en/groups.html", "allow")]
-    urls = [*known, *(u for u, _ in held_out), known[0]]
-    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS features")
+    many = [*known, *(u for u, _ in held_out), known[0]]
+    frame = spark.createDataFrame(list(enumerate(many)), "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS features")
     rows = {r.page_id: r for r in filter_urls(frame, RULES).collect()}
-    assert len(rows) == len(urls)
-    for i, url in enumerate(urls):
+    assert len(rows) == len(many)
+    for i, url in enumerate(many):
         host, path, rule = plain_rule(url)
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule and rule.name)
         assert rows[i].verdict == (rule.verdict if rule else "block" if rows[i].score >= 0.5 else "allow")
@@ -340,6 +342,37 @@ def test_urls(spark):
     assert not filter_urls(frame.limit(0), RULES).collect()
 
 
+def test_url_model_on_hosts_held_out(spark):
+    rows = urls.labelled_table()
+    assert rows == urls.labelled_table() and len(rows) < urls.MOST_LABELLED
+    host = re.compile(r"://([^/]*)")
+    parts = [{host.search(u)[1] for u, _, out in rows if out is side} for side in (True, False)]
+    assert not parts[0] & parts[1] and len(parts[0]) > 500
+    held = urls.labelled_urls(spark, held_out=True).withColumn("page_id", F.monotonically_increasing_id())
+    verdicts = filter_urls(held, []).join(held.select("page_id", "label"), "page_id").collect()
+    unwanted = [r.verdict == "block" for r in verdicts if r.label == 1]
+    wanted = [r.verdict == "block" for r in verdicts if r.label == 0]
+    assert np.mean(unwanted) >= 0.9 and np.mean(wanted) <= 0.01
+
+
+def test_url_features_and_probability(spark):
+    """The score against its formula in numpy; a very long URL, repeated rows, extra columns that clash."""
+    known = spark.createDataFrame([("http://casino.org/a", 1.0), ("http://garden.org/a", 0.0), ("http://x.org", 0.0), (None, 1.0)],
+                                  "url string, label double")
+    model = urls.train(known)
+    texts = ["http://casino-garden.org/a/b", "http://" + "long-" * 40_000 + ".org/" + "p" * 100_000, None, "http://casino.org/a", "http://casino.org/a"]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "page_id long, url string, score int, grams string")
+    index = HashingTF(numFeatures=urls.FEATURES).indexOf
+    for row in filter_urls(frame, [], known).collect():
+        host, path, _ = plain_rule(texts[row.page_id])
+        grams = {f"{mark}{n}{framed[i:i + n]}" for mark, framed in (("h", f"^{host}$"), ("p", f"^{path}$"))
+                 for n in urls.SIZES for i in range(len(framed) - n + 1)}
+        places = {index(gram) for gram in grams}
+        margin = sum(model.coefficients[p] for p in places) / max(1, len(places)) ** 0.5 + model.intercept
+        assert row.score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+        assert row.verdict == ("block" if row.score >= 0.5 else "allow")
+
+
 # Pipeline
 
 def test_pipeline(spark, make, tmp_path):
@@ -364,3 +397,11 @@ def test_pipeline(spark, make, tmp_path):
     assert {r.doc_id for r in stages[3].collect()} == left
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, stages[3].collect()))
+
+
+def test_pipeline_on_empty_tables(spark, make, tmp_path):
+    docs, labels = make([(1, "x")]).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.collect() == [] and "sequence_id" in whole.columns
