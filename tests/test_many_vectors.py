@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from catalog.queries import restrict_support
+from catalog.queries import fit_two_view, fit_two_view_gram, restrict_support
 
 
 def write_vectors(spark, folder, x):
@@ -19,3 +19,13 @@ def test_restrict_support_keeps_no_rows_where_no_mean_is_large(spark, tmp_path,
     write_vectors(spark, tmp_path, x)
     got = restrict_support(spark, str(tmp_path)).select("view_idx", "feature_id").distinct().collect()
     assert {r["view_idx"] * 32 + r["feature_id"] for r in got} == set(large)
+
+
+def test_gram_query_fits_more_subjects_than_the_gram_plan_takes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    hidden = rng.normal(size=(2100, 1))
+    write_vectors(spark, tmp_path, hidden * rng.normal(size=64) + rng.normal(size=(2100, 64)))
+    want = {r[:3]: r["loading"] for r in fit_two_view(spark, str(tmp_path)).collect()}
+    got = {r[:3]: r["loading"] for r in fit_two_view_gram(spark, str(tmp_path)).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
