@@ -5,6 +5,8 @@ import pytest
 from catalog.queries import cross_covariance_centered
 from catalog.views import customer_cells
 from polyview import session
+from polyview.plans import sparse
+from polyview.plans.common import FitOptions
 
 
 @pytest.fixture
@@ -52,3 +54,21 @@ def test_centred_product_moves_no_cell_again(spark, folder):
     outside = text.split("Initial Plan")[0]
     # Cells lie with their customer, so no exchange by customer follows the one that places them.
     assert outside.count("hashpartitioning(row_id") <= outside.count("REPARTITION_BY_NUM")
+
+
+def test_sparse_plan_gives_a_task_a_bounded_number_of_cells(spark, monkeypatch):
+    seen = []
+    placed = sparse.Placed.__init__
+
+    def noted(self, cells, key, parts, n_cells):
+        placed(self, cells, key, parts, n_cells)
+        seen.append(self.light.rdd.getNumPartitions())
+
+    monkeypatch.setattr(session.task_parts, "__defaults__", (50,))
+    monkeypatch.setattr(sparse.Placed, "__init__", noted)
+    monkeypatch.setattr(sparse, "solve", lambda matrices, opts: ([], [], {}))
+    cells = spark.createDataFrame(
+        [(v, r, f, float((r * (f + 2) + v * f) % 7)) for v in (0, 1) for r in range(60) for f in range(4)],
+        "view_idx int, row_id bigint, feature_id bigint, value double")
+    sparse.fit(cells, 60, [4, 4], FitOptions(rhos=(0.1, 0.1)))
+    assert seen == [5, 5]
