@@ -32,22 +32,13 @@ UNIT = 1 << 24
 KEY = ["none", "id", "print"]
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """Buckets of all words, then of all pairs of neighbours; ``words`` must be a plain column."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(single, pairs)
-
-
 def with_base_columns(rows: DataFrame) -> DataFrame:
     """Adds the base counts to rows of text and words.
 
@@ -61,7 +52,7 @@ def with_base_columns(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "_lines": lines,
         "_windows": F.transform(
             F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
@@ -106,10 +97,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *carried: Column) -> Data
 
 
 def grams(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
-    """The columns and bucket, a row for each gram; half is that of the text.  Rows without words have a null bucket."""
+    """The columns and bucket, a row for each word and each pair of neighbours; half is that of the text.
+
+    Rows without words and last words without a neighbour have null buckets besides.  Grams are hashed row by row,
+    in generated code; functions of arrays' elements would be interpreted.
+    """
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("half", F.pmod("print", F.lit(2)).cast("int"))
+    words = F.col("words")
+    following = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     # explode() would add a filter on the array's size, and with it a second computation of the array.
-    return rows.select(*columns, "half", F.explode_outer(buckets_of(F.col("words"), buckets)).alias("bucket"))
+    pairs = rows.select(*columns, "half", F.explode_outer(F.arrays_zip(words.alias("word"), following.alias("following"))).alias("pair"))
+    word, following = F.col("pair.word"), F.col("pair.following")
+
+    def bucket(*parts):
+        return F.when(parts[-1].isNotNull(), F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int"))
+
+    return pairs.select(*columns, "half", F.explode(F.array(bucket(word), bucket(word, following))).alias("bucket"))
 
 
 def ratio_table(rows: DataFrame, known: DataFrame, n_known: int, buckets: int, smoothing: float = SMOOTHING) -> DataFrame | None:
